@@ -75,13 +75,29 @@ def term_hits(items: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
     return terms.select(key, "kind", "code", "term", F.array_contains("t", F.col("term")).alias("in_title"))
 
 
+def _matched(items: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Items with their region hits and topic weights as plain columns.
+
+    The hits leave through a one-row generator: a filter on the score then stays above it, instead of
+    being pushed down as a copy of every pattern match.
+    """
+    w = vocabulary.weights
+    folded = fold_items(items, vocabulary)
+    for i, terms in enumerate(vocabulary.regions.values()):
+        folded = folded.withColumn(f"_t{i}", _hits(F.col("_region_title"), terms))
+        folded = folded.withColumn(f"_a{i}", F.array_union(f"_t{i}", _hits(F.col("_region_text"), terms)))
+    for code, terms in vocabulary.topics.items():
+        matcher = pattern(terms)
+        weight = F.when(F.col("_title").rlike(matcher), w["title"]).when(F.col("_text").rlike(matcher), w["text"])
+        folded = folded.withColumn(f"_topic_{code}", weight)
+    hits = [c for c in folded.columns if c.startswith(("_t", "_a", "_topic_")) and c not in ("_title", "_text")]
+    return folded.select(*items.columns, F.inline(F.array(F.struct(*hits))))
+
+
 def score(items: DataFrame, vocabulary: Vocabulary, prior: str = "feed_region") -> DataFrame:
     """Adds region, terms, topics, region_score, topic_score and score to (title, text, prior region)."""
     w = vocabulary.weights
-    scored = fold_items(items, vocabulary)
-    for i, terms in enumerate(vocabulary.regions.values()):
-        scored = scored.withColumn(f"_t{i}", _hits(F.col("_region_title"), terms))
-        scored = scored.withColumn(f"_a{i}", F.array_union(f"_t{i}", _hits(F.col("_region_text"), terms)))
+    scored = _matched(items, vocabulary)
     entries = []
     for i, code in enumerate(vocabulary.regions):
         total = F.size(f"_t{i}") * w["title"] + (F.size(f"_a{i}") - F.size(f"_t{i}")) * w["text"]
@@ -94,10 +110,7 @@ def score(items: DataFrame, vocabulary: Vocabulary, prior: str = "feed_region")
     scored = scored.withColumn("_region", F.coalesce(raised, F.col("_best.score"), F.lit(0.0)))
 
     weights, topics = [], []
-    for code, terms in vocabulary.topics.items():
-        matcher = pattern(terms)
-        weight = F.when(F.col("_title").rlike(matcher), w["title"]).when(F.col("_text").rlike(matcher), w["text"])
-        scored = scored.withColumn(f"_topic_{code}", weight)
+    for code in vocabulary.topics:
         weights.append(F.coalesce(F.col(f"_topic_{code}"), F.lit(0.0)))
         topics.append(F.when(F.col(f"_topic_{code}").isNotNull(), F.lit(code)))
     scored = scored.withColumn("_topic", F.least(F.lit(1.0), sum(weights, F.lit(0.0))))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beaconry.operators.scan import mark_newest, number_rows, running_sums
-from beaconry.session import small_side
+from beaconry.session import cut_lineage, small_side
 
 # The collector's word for an item and the store's word for it.
 STORE_STATUS = {"queued": "queued", "deferred": "pending", "off-topic": "scored"}
@@ -43,13 +43,17 @@ def feed_gate(items: DataFrame, feeds: DataFrame, mode: str, selected: list[str]
 
 
 def select_newest(items: DataFrame, limit: int, key: str) -> DataFrame:
-    """``status`` queued for the newest ``limit`` relevant items, deferred for the rest, off-topic otherwise."""
-    relevant = items.where("relevant").withColumn("_when", F.coalesce("published", "fetched_at"))
-    order = [F.col("_when").desc(), F.col("feed").desc(), F.col("queue_id").desc()]
-    marked = mark_newest(relevant, order, key, limit, "_top").drop("_when")
-    rest = items.where("NOT relevant").withColumn("_top", F.lit(None).cast("boolean"))
-    status = F.when(F.col("_top"), "queued").when(F.col("relevant"), "deferred").otherwise("off-topic")
-    return marked.unionByName(rest).withColumn("status", status).drop("_top")
+    """``status`` queued for the newest ``limit`` relevant items, deferred for the rest, off-topic otherwise.
+
+    The items are read twice (once for the order, once to be marked), so they are checkpointed: pass
+    slim rows, without the texts they were scored on.
+    """
+    items = cut_lineage(items)
+    when = F.coalesce("published", "fetched_at")
+    order = [F.col("relevant").desc(), when.desc(), F.col("feed").desc(), F.col("queue_id").desc()]
+    marked = mark_newest(items, order, key, limit, "_top")
+    status = F.when(~F.col("relevant"), "off-topic").when(F.col("_top"), "queued").otherwise("deferred")
+    return marked.withColumn("status", status).drop("_top")
 
 
 def run_stats(items: DataFrame, group: str) -> DataFrame:

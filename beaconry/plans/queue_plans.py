@@ -9,6 +9,8 @@ from beaconry.functions import hashing
 from beaconry.operators import dedup, relevance, scan, text
 from beaconry.operators import review_queue as rq
 from beaconry.plans.common import NOT_W_SQL, RUN_TS, SIGNALS, W_SQL, fold_sql, read, signals, sql_literal, sql_rows, squash_sql, stamp, stamp_sql
+from beaconry.functions.text import squash
+from beaconry.session import small_side
 from beaconry.plans.text_plans import EXCERPT_CHARS, NEAR_DEDUP_SQL, signed_docs
 
 LIMIT = 40
@@ -25,8 +27,6 @@ FEEDS = sql_rows("feeds", "feed, enabled, queue, grade, region, cadence_minutes"
 
 
 def with_prior(spark, items):
-    from beaconry.session import small_side
-
     prior = feeds(spark).select("feed", F.col("region").alias("feed_region"))
     return items.join(small_side(prior), "feed", "left")
 
@@ -154,7 +154,7 @@ def _judged(spark, items):
 
 def select_newest(spark, sf):
     """Newest relevant documents are queued, the rest of the relevant ones deferred."""
-    items = _judged(spark, text.content_keys(signals(spark, sf), "url", "text"))
+    items = _judged(spark, text.content_keys(signals(spark, sf), "url", "text")).drop("title", "text")
     return rq.select_newest(items, LIMIT, "doc_id").select("doc_id", "queue_id", "score", "status")
 
 
@@ -169,7 +169,7 @@ def review_queue(spark, sf):
     """Keys, first occurrence, signature, near-duplicates, relevance, newest first: the whole run."""
     signed = signed_docs(spark, sf)
     kept = dedup.near_dedup(signed.select(F.col("doc_id").alias("ord"), "queue_id", "simhash")).select(F.col("ord").alias("doc_id"))
-    items = _judged(spark, signed.join(kept, "doc_id", "left_semi"))
+    items = _judged(spark, signed.join(kept, "doc_id", "left_semi")).drop("title", "text")
     return rq.select_newest(items, LIMIT, "doc_id").select("doc_id", "queue_id", "region", "score", "borderline", "status")
 
 
@@ -205,12 +205,11 @@ def candidates(spark, sf):
     """Selected candidates with everything a store row needs; every seventh carries a place."""
     items = text.content_keys(signals(spark, sf), "url", "text")
     flagged = text.policy_flag(_judged(spark, items), F.concat_ws(" ", "title", "text"), dims.PROTECTED_TERMS)
-    chosen = rq.select_newest(flagged, LIMIT, "doc_id")
     placed = F.col("doc_id") % 7 == 0
-    return chosen.select(
-        "*",
-        text.excerpt(F.col("title"), 300).alias("title_cut"),
-        text.excerpt(squash_col("text"), EXCERPT_CHARS).alias("text_cut"),
+    slim = flagged.select(
+        *[c for c in flagged.columns if c not in ("title", "text")],
+        text.excerpt(F.col("title"), 300).alias("title"),
+        text.excerpt(squash(F.col("text")), EXCERPT_CHARS).alias("text"),
         F.when(placed, F.concat(F.lit("Place "), F.col("doc_id").cast("string"))).alias("place"),
         F.when(placed, F.col("doc_id") % 90 + 0.5).cast("double").alias("lat"),
         F.lit(None).cast("double").alias("lon"),
@@ -220,13 +219,8 @@ def candidates(spark, sf):
         F.lit(None).cast("string").alias("source_id"),
         F.lit(None).cast("bigint").alias("simhash"),
         F.col("published").alias("published_at"),
-    ).drop("title", "text").withColumnsRenamed({"title_cut": "title", "text_cut": "text"})
-
-
-def squash_col(name: str):
-    from beaconry.functions.text import squash
-
-    return squash(F.col(name))
+    )
+    return rq.select_newest(slim, LIMIT, "doc_id")
 
 
 def stored_rows(spark, sf):
