@@ -109,12 +109,12 @@ REPORTED_ABSENCE_SQL = f"WITH {STATS}, {MIRROR}, {FRAMED} SELECT a, b, period, r
 
 def halt_stats(spark, sf):
     found = trade.halt_stats(_framed(spark, sf), dims.PIVOT_PERIOD, "sea")
-    rounded = {"mean_before": 3, "total": 4, "total_reported": 4, "mode_share": 4}
+    rounded = {"mean_before": 8, "total": 4, "total_reported": 4, "mode_share": 4}
     return found.select(*[F.round(c, rounded[c]).alias(c) if c in rounded else c for c in found.columns])
 
 
 _PIV = dims.PIVOT_PERIOD
-HALT_STATS_SQL = f"""WITH {STATS}, {MIRROR}, {FRAMED} SELECT a, b, round(avg(a_exports) FILTER (WHERE period < '{_PIV}' AND a_exports > 0), 3) AS mean_before,
+HALT_STATS_SQL = f"""WITH {STATS}, {MIRROR}, {FRAMED} SELECT a, b, round(avg(a_exports) FILTER (WHERE period < '{_PIV}' AND a_exports > 0), 8) AS mean_before,
   count(*) FILTER (WHERE period > '{_PIV}') AS of_months, count(*) FILTER (WHERE period > '{_PIV}' AND b_imports > 0) AS months,
   round(coalesce(sum(b_imports) FILTER (WHERE period > '{_PIV}' AND b_imports > 0), 0), 4) AS total, round(coalesce(sum(b_imports) FILTER (WHERE period > '{_PIV}' AND b_imports > 0 AND reported), 0), 4) AS total_reported,
   count(*) FILTER (WHERE period > '{_PIV}' AND a_exports IS NULL AND reported) AS absent_reported, count(*) FILTER (WHERE period > '{_PIV}' AND a_exports IS NULL AND NOT reported) AS absent_silent,
