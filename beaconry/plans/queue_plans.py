@@ -158,11 +158,11 @@ def select_newest(spark, sf):
     return rq.select_newest(items, LIMIT, "doc_id").select("doc_id", "queue_id", "score", "status")
 
 
-_IDS = f"ids AS (SELECT doc_id, feed, published, substr(sha256(url || chr(10) || {squash_sql('text')}), 1, 12) AS queue_id FROM signals)"
+IDS = f"ids AS (SELECT doc_id, feed, published, substr(sha256(url || chr(10) || {squash_sql('text')}), 1, 12) AS queue_id FROM signals)"
 SELECTED = f"""judged AS (SELECT doc_id, score, {_REL} AS relevant, {_BORDER} AS borderline, region, topics FROM scored),
 selected AS (SELECT doc_id, queue_id, score, region, topics, relevant, borderline, CASE WHEN NOT relevant THEN 'off-topic'
   WHEN row_number() OVER (PARTITION BY relevant ORDER BY published DESC, feed DESC, queue_id DESC) <= {LIMIT} THEN 'queued' ELSE 'deferred' END AS status FROM judged JOIN ids USING (doc_id))"""
-SELECT_NEWEST_SQL = f"WITH {SCORED}, {_IDS}, {SELECTED} SELECT doc_id, queue_id, score, status FROM selected"
+SELECT_NEWEST_SQL = f"WITH {SCORED}, {IDS}, {SELECTED} SELECT doc_id, queue_id, score, status FROM selected"
 
 
 def review_queue(spark, sf):
@@ -174,7 +174,7 @@ def review_queue(spark, sf):
 
 
 _NEAR = NEAR_DEDUP_SQL.replace(f"WITH RECURSIVE {SIGNALS},", "", 1).rsplit("SELECT unnest(kept)", 1)[0].rstrip()
-REVIEW_QUEUE_SQL = f"""WITH RECURSIVE {SCORED}, {_IDS}, {_NEAR},
+REVIEW_QUEUE_SQL = f"""WITH RECURSIVE {SCORED}, {IDS}, {_NEAR},
 left_over AS (SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)),
 pool AS (SELECT doc_id, score, {_REL} AS relevant, {_BORDER} AS borderline, region FROM scored WHERE doc_id IN (SELECT doc_id FROM left_over))
 SELECT doc_id, queue_id, region, score, borderline, CASE WHEN NOT relevant THEN 'off-topic'
@@ -248,15 +248,15 @@ stored AS (SELECT doc_id, 'sha256:' || sha256(url || chr(10) || sq) AS content_h
   CASE status WHEN 'queued' THEN 'queued' WHEN 'deferred' THEN 'pending' ELSE 'scored' END AS triage_status, score AS triage_score,
   '{{"borderline":' || borderline || ',"collector_status":"' || status || '","feed":"' || feed || '","queue_id":"' || queue_id || '","redline_check":' || ({_FLAG}) || ',"threshold":0.5,"topics":[' ||
    CASE WHEN topics = '' THEN '' ELSE '"' || replace(topics, '|', '","') || '"' END || ']}}' AS triage_labels FROM selected JOIN full_key USING (doc_id))"""
-_STORE = f"WITH {SCORED}, {_IDS}, {SELECTED}, {STORED}"
-SIGNAL_ROWS_SQL = f"{_STORE} SELECT * EXCLUDE (doc_id) FROM stored"
+STORE = f"WITH {SCORED}, {IDS}, {SELECTED}, {STORED}"
+SIGNAL_ROWS_SQL = f"{STORE} SELECT * EXCLUDE (doc_id) FROM stored"
 
 
 def promote(spark, sf):
     return rq.promote(stored_rows(spark, sf))
 
 
-PROMOTE_SQL = f"{_STORE} SELECT content_hash FROM stored WHERE triage_status = 'queued'"
+PROMOTE_SQL = f"{STORE} SELECT content_hash FROM stored WHERE triage_status = 'queued'"
 CAP = 60
 
 
@@ -265,7 +265,7 @@ def publish_batch(spark, sf):
     return rq.publish_rows(rows, "content_hash", CAP)
 
 
-PUBLISH_BATCH_SQL = f"""{_STORE} SELECT content_hash, triage_status FROM stored
+PUBLISH_BATCH_SQL = f"""{STORE} SELECT content_hash, triage_status FROM stored
 ORDER BY CASE triage_status WHEN 'queued' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END, content_hash LIMIT {CAP}"""
 
 
@@ -273,7 +273,7 @@ def batch_counts(spark, sf):
     return rq.batch_counts(stored_rows(spark, sf).select("triage_status"), CAP)
 
 
-BATCH_COUNTS_SQL = f"""{_STORE}, n AS (SELECT count(*) FILTER (WHERE triage_status = 'queued') AS q, count(*) FILTER (WHERE triage_status = 'pending') AS p, count(*) AS total FROM stored),
+BATCH_COUNTS_SQL = f"""{STORE}, n AS (SELECT count(*) FILTER (WHERE triage_status = 'queued') AS q, count(*) FILTER (WHERE triage_status = 'pending') AS p, count(*) AS total FROM stored),
 m AS (SELECT *, least(total, {CAP}) AS rows, least(q, {CAP}) AS queued FROM n)
 SELECT rows, total - rows AS truncated, queued, least(p, {CAP} - queued) AS pending, rows - queued - least(p, {CAP} - queued) AS scored, queued AS reviews, (rows + queued) * 3 AS estimated_writes FROM m"""
 
