@@ -71,7 +71,7 @@ READ_CANDIDATES_SQL = """WITH c AS (SELECT CASE WHEN doc_id % 50 = 7 THEN 'not j
 SELECT outcome, CASE WHEN outcome = 'ok' THEN st END AS status, count(*) AS n FROM c GROUP BY 1, 2"""
 
 
-def _published(spark, sf, path):
+def published(spark, sf, path):
     """Store rows as batch files of at most 100 rows with their pointers; every fifth file is damaged."""
     rows = stored_rows(spark, sf).withColumn("simhash", F.lit(None).cast("string")).withColumn("_file", F.expr("concat('2024-01-31-r', conv(substr(content_hash, 8, 2), 16, 10))"))
     fields = sorted(c for c in rows.columns if c != "_file")
@@ -86,7 +86,7 @@ def _published(spark, sf, path):
 
 
 def read_batch(spark, sf):
-    rows, refused = files.read_batch(*_published(spark, sf, scratch_path(spark, "batches")))
+    rows, refused = files.read_batch(*published(spark, sf, scratch_path(spark, "batches")))
     good = rows.select("batch_id", "content_hash", "triage_status", F.lit(None).cast("string").alias("reason"))
     return good.unionByName(refused.select("batch_id", *[F.lit(None).cast("string").alias(c) for c in ("content_hash", "triage_status")], "reason"))
 
@@ -135,8 +135,10 @@ def vessels_scan(spark, sf):
     ])
     vessel = "if(c_custkey % 3 = 0, '', concat('<vesselInfo><vesselType>', c_mktsegment, '</vesselType><vesselFlag>N', c_nationkey, '</vesselFlag></vesselInfo>'))"
     entry = f"concat('<sdnEntry><uid>', c_custkey, '</uid><lastName>', c_name, '</lastName><programList><program>P', c_custkey % 4, '</program><program>Q</program></programList><idList>', {ids}, '</idList>', {vessel}, '</sdnEntry>')"
-    read(spark, sf, "customer").select(F.expr(entry).alias("value")).write.text(path)
-    vessels = files.read_vessels(spark, path)
+    chunks = read(spark, sf, "customer").groupBy(F.expr(f"c_custkey div {CHUNK}").alias("chunk")).agg(F.array_join(F.collect_list(F.expr(entry)), "").alias("entries"))
+    docs = chunks.select("chunk", F.concat(F.lit('<sdnList xmlns="urn:list">'), "entries", F.lit("</sdnList>")).alias("value"))
+    docs.repartition("chunk").write.partitionBy("chunk").text(path)
+    vessels = files.read_vessels(spark, f"{path}/*")
     return vessels.select("name", "imo", "mmsi", "type", "flag", F.array_join("former_flags", ",").alias("former_flags"), F.array_join("programmes", ",").alias("programmes"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("text_plans", "warning_plans", "geo_plans", "queue_plans", "trade_plans", "record_plans", "io_plans")
+FAMILIES = ("text_plans", "warning_plans", "geo_plans", "queue_plans", "trade_plans", "record_plans", "io_plans", "stream_plans")
 
 
 def _merged(attribute: str) -> dict:
