@@ -115,7 +115,9 @@ def near_dedup(items: DataFrame, distance: int = NEAR_BITS, crowded: int = CROWD
     Copies collapse first, by aggregation. What is left is decided in rounds: an undecided item with
     a kept earlier neighbour goes; one with no undecided earlier neighbour stays. Each round is a
     few keyed aggregations, checkpointed, so rounds neither repeat work nor depend on lost executors.
+    Pass slim rows: the signature is computed once, in the checkpoint this starts from.
     """
+    items = cut_lineage(items)  # read for the nodes and again for the result
     nodes = items.groupBy("queue_id", "simhash").agg(F.min("ord").alias("ord"))
     per_id = nodes.groupBy("queue_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "simhash")).alias("one"))
     alone = per_id.where("n = 1").select("queue_id", "one.simhash", "one.ord")

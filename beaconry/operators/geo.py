@@ -41,10 +41,12 @@ def _pack(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def ring_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """Cell -> edges that an eastward ray from the cell may cross: same cell row, ring box over the column."""
+    """Cell -> rings whose box covers it, each with the edges an eastward ray from the cell may cross."""
     box = edges.groupBy(*ID).agg(F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"))
     rows = edges.join(small_side(box), ID).withColumn("_iy", _range(F.least("y1", "y2"), F.greatest("y1", "y2"), cell))
-    return _pack(rows.withColumn("_ix", _range(F.col("_w"), F.col("_e"), cell)), ID + EDGE)
+    placed = rows.withColumn("_ix", _range(F.col("_w"), F.col("_e"), cell))
+    rings = placed.groupBy("_ix", "_iy", *ID).agg(F.collect_list(F.struct(*EDGE)).alias("edges"))
+    return _pack(rings, ["poly_id", "edges"])
 
 
 def near_cells(edges: DataFrame, cell: float, fields: list[str] | None = None) -> DataFrame:
@@ -65,13 +67,13 @@ def attach(points: DataFrame, cells: DataFrame, cell: float, wanted: Column | No
     return keyed.join(small_side(cells), ["_ix", "_iy"], "left").drop("_ix", "_iy")
 
 
-def _inside(edges: Column) -> Column:
-    """Polygons among the cell's edges that hold the point: odd number of crossings of any ring."""
-    rings = F.transform(
-        F.filter(edges, lambda e: g.crosses(F.col("lon"), F.col("lat"), e)), lambda e: F.struct(e["poly_id"].alias("p"), e["ring_id"].alias("r"))
-    )
-    odd = F.filter(F.array_distinct(rings), lambda r: F.size(F.filter(rings, lambda x: x == r)) % 2 == 1)
-    return F.array_distinct(F.transform(odd, lambda r: r["p"]))
+def _inside(rings: Column) -> Column:
+    """Polygons among the cell's rings that hold the point: an odd number of crossings of any ring."""
+
+    def odd(ring: Column) -> Column:
+        return F.size(F.filter(ring["edges"], lambda e: g.crosses(F.col("lon"), F.col("lat"), e))) % 2 == 1
+
+    return F.array_distinct(F.transform(F.filter(rings, odd), lambda r: r["poly_id"]))
 
 
 def polygons_at(points: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
@@ -104,7 +106,7 @@ Distance = Callable[[Column, Column, Column], Column]
 
 
 def nearest(
-    points: DataFrame, edges: DataFrame, limit_km: float, column: str = "km", distance: Distance = g.segment_km, cell: float = 0.5
+    points: DataFrame, edges: DataFrame, limit_km: float, column: str = "km", distance: Distance = g.segment_km, cell: float = 0.25
 ) -> DataFrame:
     """Distance to the nearest edge up to ``limit_km``, NULL beyond.
 

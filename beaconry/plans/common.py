@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from beaconry.session import spread
 
-#: Tables whose work is per character: worth spreading when one file holds them.
-TEXT_TABLES = ("documents", "pages", "conversations")
+#: Tables with much work per row: worth spreading when one file holds them.
+HEAVY_TABLES = ("documents", "pages", "conversations", "events")
 RUN_TS = "2024-01-31 00:00:00"
 W_SQL = r"[\p{L}\p{N}_]"
 NOT_W_SQL = r"[^\p{L}\p{N}_]"
@@ -20,7 +20,7 @@ NOT_W_SQL = r"[^\p{L}\p{N}_]"
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(table) if name in TEXT_TABLES else table
+    return spread(table) if name in HEAVY_TABLES else table
 
 
 def sql_literal(value) -> str:

@@ -167,9 +167,9 @@ SELECT_NEWEST_SQL = f"WITH {SCORED}, {IDS}, {SELECTED} SELECT doc_id, queue_id,
 
 def review_queue(spark, sf):
     """Keys, first occurrence, signature, near-duplicates, relevance, newest first: the whole run."""
-    signed = signed_docs(spark, sf)
-    kept = dedup.near_dedup(signed.select(F.col("doc_id").alias("ord"), "queue_id", "simhash")).select(F.col("ord").alias("doc_id"))
-    items = _judged(spark, signed.join(kept, "doc_id", "left_semi")).drop("title", "text")
+    signed = signed_docs(spark, sf).select(F.col("doc_id").alias("ord"), "queue_id", "simhash")
+    kept = dedup.near_dedup(signed).select(F.col("ord").alias("doc_id"), "queue_id")
+    items = _judged(spark, signals(spark, sf).join(kept, "doc_id")).drop("title", "text")
     return rq.select_newest(items, LIMIT, "doc_id").select("doc_id", "queue_id", "region", "score", "borderline", "status")
 
 

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from beaconry import dims
 from beaconry.functions import hashing
-from beaconry.functions.text import squash
-from beaconry.operators import dedup, scan, text
+from beaconry.operators import dedup, text
+
 from beaconry.plans.common import (
     NOT_W_SQL,
     RUN_TS,
     SIGNALS,
-    W_SQL,
     casefold_sql,
     fold_sql,
     read,
@@ -23,6 +22,7 @@ from beaconry.plans.common import (
     stamp_sql,
     words_sql,
 )
+from beaconry.session import cut_lineage
 
 EXCERPT_CHARS = 500
 
@@ -300,7 +300,7 @@ SELECT doc_id, queue_id FROM k WHERE queue_id NOT IN (SELECT queue_id FROM k WHE
 
 def ledger_near(spark, sf):
     """Documents and benchmark passages already queued are known; the ledger holds every fifth document."""
-    signed = signed_docs(spark, sf).select("doc_id", "queue_id", "published", "simhash")
+    signed = cut_lineage(signed_docs(spark, sf).select("doc_id", "queue_id", "published", "simhash"))
     fresh = signed.where("doc_id % 5 <> 0").select("doc_id", "simhash")
     return dedup.ledger_near(fresh, _ledger(signed)).select("doc_id")
 
@@ -360,4 +360,3 @@ ORACLES = {
     "near_dedup": NEAR_DEDUP_SQL,
     "ledger_prune": LEDGER_PRUNE_SQL,
 }
-_ = (W_SQL, scan, squash)
