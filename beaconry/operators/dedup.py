@@ -14,8 +14,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.functions.hashing import BITS, hamming
-from beaconry.session import cut_lineage, small_side
+from beaconry.functions.hashing import BITS
+from beaconry.operators.scan import first_by
+from beaconry.session import cut_lineage
 
 NEAR_BITS = 3
 AGREEING_BLOCKS = 3
@@ -60,37 +61,33 @@ def near_pairs(left: DataFrame, right: DataFrame | None = None, distance: int =
     masks = _masks(distance)
     a = _keyed(left.select("hash").distinct(), masks)
     b = a if own else _keyed(right.select("hash").distinct(), masks)
-    load = a.withColumn("side", F.lit(0)) if own else a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+    load = a if own else a.unionByName(b)
     full = load.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).drop("n")
+    full = cut_lineage(full)
+    x, y = F.col("x.hash"), F.col("y.hash")
+    # A pair agrees on several choices; it is emitted by the first of them only.
+    apart = x.bitwiseXOR(y)
+    agreeing = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    valid = (F.bit_count(apart) <= distance) & (agreeing == F.col("choice"))
 
-    def split(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return keyed.join(full, ["choice", "key"], "left_anti"), keyed.join(full, ["choice", "key"], "left_semi")
+    def thin(left_keys: DataFrame, right_keys: DataFrame) -> DataFrame:
+        met = left_keys.alias("x").join(right_keys.alias("y"), ["choice", "key"])
+        return met.where(valid & (x < y if own else F.lit(True))).select(x.alias("a"), y.alias("b"))
 
-    (a_thin, a_full), (b_thin, b_full) = split(a), split(b)
-    x, y = F.col("x.hash"), F.col("y.hash")
-    ordered = (x < y) if own else F.lit(True)
-    thin = (
-        a_thin.alias("x")
-        .join(b_thin.alias("y"), ["choice", "key"])
-        .where(ordered & (hamming(x, y) <= distance))
-        .select(x.alias("a"), y.alias("b"))
-    )
+    if full.isEmpty():
+        return thin(a, b)
 
     def around(keyed: DataFrame, radius: int) -> DataFrame:
         flips = F.broadcast(_flips(spark, masks, radius))
         return keyed.join(flips, "choice").select("choice", "key", "hash", F.col("hash").bitwiseXOR(F.col("flip")).alias("meet"))
 
-    if distance == 0:
-        crowded_pairs = a_full.alias("x").join(b_full.alias("y"), ["choice", "key", "hash"]).select(F.col("hash").alias("a"), F.col("hash").alias("b")).where(F.lit(not own))
-    else:
-        crowded_pairs = (
-            around(a_full, distance // 2)
-            .alias("x")
-            .join(around(b_full, distance - distance // 2).alias("y"), ["choice", "key", "meet"])
-            .where((x != y if own else F.lit(True)) & (hamming(x, y) <= distance))
-            .select((F.least(x, y) if own else x).alias("a"), (F.greatest(x, y) if own else y).alias("b"))
-        )
-    return thin.unionByName(crowded_pairs).distinct()
+    def keys(keyed: DataFrame, how: str) -> DataFrame:
+        return keyed.join(full, ["choice", "key"], how)
+
+    near, far = around(keys(a, "left_semi"), distance // 2), around(keys(b, "left_semi"), distance - distance // 2)
+    met = near.alias("x").join(far.alias("y"), ["choice", "key", "meet"]).where(valid & (x != y if own else F.lit(True)))
+    shared = met.select((F.least(x, y) if own else x).alias("a"), (F.greatest(x, y) if own else y).alias("b")).distinct()
+    return thin(keys(a, "left_anti"), keys(b, "left_anti")).unionByName(shared)
 
 
 def ledger_exact(items: DataFrame, ledger: DataFrame, key: str = "queue_id") -> DataFrame:
@@ -133,7 +130,8 @@ def near_dedup(items: DataFrame, distance: int = NEAR_BITS, crowded: int = CROWD
 
     hashes = state.where("simhash <> 0").select(F.col("simhash").alias("hash")) if distance >= 0 else state.limit(0).select(F.col("simhash").alias("hash"))
     pairs = near_pairs(hashes, distance=max(distance, 0), crowded=crowded)
-    links = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = cut_lineage(pairs.select(F.inline(both)))
 
     def earliest(key: str) -> list[Column]:
         kept = F.min(F.when(F.col("kept"), F.col("ord")))
@@ -168,9 +166,5 @@ def ledger_prune(ledger: DataFrame, today: Column, days: int, max_entries: int)
 
 def first_wins(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First occurrence per key in arrival order with the number of copies seen."""
-    from beaconry.operators.scan import first_by
-
     return first_by(items, keys, order)
 
-
-__all__ = ["near_pairs", "ledger_exact", "ledger_near", "near_dedup", "ledger_prune", "first_wins", "small_side"]
