@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beaconry.functions import geometry as g
+from beaconry.operators.scan import number_rows
 from beaconry.session import cut_lineage, small_side
 
 EDGE = ["x1", "y1", "x2", "y2"]
@@ -214,12 +215,10 @@ def area_share(boxes: DataFrame, edges: DataFrame, step: float, least: float = 0
 
 
 def share_accounting(shares: DataFrame) -> DataFrame:
-    """Per box: shares in descending order as text, and how much of the box is accounted for."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "poly_id")))
-    return shares.groupBy("box").agg(
-        F.array_join(F.transform(ordered, lambda x: F.concat_ws("=", x["poly_id"], F.format_string("%.4f", -x["s"]))), ",").alias("shares"),
-        F.round(F.sum("share"), 4).alias("accounted"),
-    )
+    """Shares of every box ranked from the largest, with how much of the box is accounted for."""
+    total = shares.groupBy("box").agg(F.round(F.sum("share"), 4).alias("accounted"))
+    ranked = number_rows(shares, [F.col("share").desc(), F.col("poly_id")], ["box"], "rank")
+    return ranked.join(small_side(total), "box")
 
 
 def poly_boxes(edges: DataFrame, step: float) -> DataFrame:

@@ -237,7 +237,8 @@ def share_accounting(spark, sf):
     return geo.share_accounting(area_share(spark, sf))
 
 
-SHARE_ACCOUNTING_SQL = f"""WITH {_SHARE} SELECT box, string_agg(poly_id || '=' || printf('%.4f', share), ',' ORDER BY share DESC, poly_id) AS shares, round(sum(share), 4) AS accounted FROM shares GROUP BY 1"""
+SHARE_ACCOUNTING_SQL = f"""WITH {_SHARE}, t AS (SELECT box, round(sum(share), 4) AS accounted FROM shares GROUP BY 1)
+SELECT box, poly_id, share, row_number() OVER (PARTITION BY box ORDER BY share DESC, poly_id) AS rank, accounted FROM shares JOIN t USING (box)"""
 
 
 def coverage_audit(spark, sf):

@@ -72,12 +72,12 @@ SELECT outcome, CASE WHEN outcome = 'ok' THEN st END AS status, count(*) AS n FR
 
 
 def published(spark, sf, path):
-    """Store rows as batch files of at most 100 rows with their pointers; every fifth file is damaged."""
-    rows = stored_rows(spark, sf).withColumn("simhash", F.lit(None).cast("string")).withColumn("_file", F.expr("concat('2024-01-31-r', conv(substr(content_hash, 8, 2), 16, 10))"))
+    """Store rows as batch files of bounded size with their pointers; every fifth file is damaged."""
+    rows = stored_rows(spark, sf).withColumn("simhash", F.lit(None).cast("string")).withColumn("_file", F.expr(f"concat('2024-01-31-r', conv(substr(content_hash, 8, 2), 16, 10), 'x', cast(regexp_extract(url, '/([0-9]+)$', 1) as bigint) div {CHUNK})"))
     fields = sorted(c for c in rows.columns if c != "_file")
     listed = rows.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
     docs = listed.select("_file", F.to_json(F.struct(F.col("_file").alias("batch_id"), F.lit(RUN_TS).alias("created_at"), "rows", F.lit("batch/1").alias("schema")), {"ignoreNullFields": "false"}).alias("value"), F.size("rows").cast("bigint").alias("rows"))
-    number = F.regexp_extract("_file", r"r(\d+)$", 1).cast("int")
+    number = F.regexp_extract("_file", r"r(\d+)x", 1).cast("int")
     pointers = docs.select(F.col("_file").alias("batch_id"), F.concat("_file", F.lit(".json")).alias("file"), F.when(number % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("value", 256)).alias("sha256"), (F.col("rows") + F.when(number % 7 == 0, 1).otherwise(0)).alias("rows"))
     content = docs.where(number % 11 != 0).select(F.concat(F.lit("/"), "_file", F.lit(".json")).alias("path"), F.length(F.encode("value", "UTF-8")).cast("bigint").alias("length"), F.encode("value", "UTF-8").alias("content"))
     content.write.parquet(f"{path}/files")
@@ -91,8 +91,8 @@ def read_batch(spark, sf):
     return good.unionByName(refused.select("batch_id", *[F.lit(None).cast("string").alias(c) for c in ("content_hash", "triage_status")], "reason"))
 
 
-READ_BATCH_SQL = f"""{STORE}, b AS (SELECT content_hash, triage_status, CAST('0x' || content_hash[8:9] AS INTEGER) AS k FROM stored),
-r AS (SELECT '2024-01-31-r' || k AS batch_id, content_hash, triage_status, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 5 = 0 THEN 'digest' WHEN k % 7 = 0 THEN 'row-count' END AS reason FROM b)
+READ_BATCH_SQL = f"""{STORE}, b AS (SELECT content_hash, triage_status, doc_id // {CHUNK} AS c, CAST('0x' || content_hash[8:9] AS INTEGER) AS k FROM stored),
+r AS (SELECT '2024-01-31-r' || k || 'x' || c AS batch_id, content_hash, triage_status, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 5 = 0 THEN 'digest' WHEN k % 7 = 0 THEN 'row-count' END AS reason FROM b)
 SELECT batch_id, content_hash, triage_status, reason FROM r WHERE reason IS NULL UNION ALL SELECT DISTINCT batch_id, NULL, NULL, reason FROM r WHERE reason IS NOT NULL"""
 
 
@@ -113,7 +113,7 @@ WARNINGS_SCAN_SQL = f"""WITH {ARCHIVE} SELECT event_id AS "eventId", year AS "ms
 def trade_scan(spark, sf):
     path = scratch_path(spark, "trade")
     row = F.struct("period", F.col("chapter").alias("cmdCode"), F.col("customs").alias("customsCode"), F.col("partner2").alias("partner2Code"), F.col("mot").alias("motCode"), F.col("value").alias("primaryValue"))
-    replies = stats(spark, sf).groupBy("reporter", "partner", "flow", "period").agg(F.collect_list(row).alias("data"))
+    replies = stats(spark, sf).groupBy("reporter", "partner", "flow", "period", F.expr(f"l_orderkey div {100 * CHUNK}")).agg(F.collect_list(row).alias("data"))
     name = F.concat_ws("-", F.col("reporter").cast("string"), F.lit("all"), "flow", F.lit("all"), F.lit("AG2"))
     replies.select(name.alias("reply"), F.to_json(F.struct("data")).alias("value")).write.partitionBy("reply").text(path)
     scanned = files.read_trade(spark, path)
