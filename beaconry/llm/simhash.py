@@ -77,6 +77,8 @@ def _variants(points: DataFrame, masks: list[int]) -> DataFrame:
 def ball_links(points: DataFrame) -> DataFrame:
     """(a, b): verified links that connect what lies within three bits among the distinct ``fp`` of ``points``."""
     one, two = _masks()
+    # few bytes make many variants: more tasks than their size asks for
+    points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     near = _variants(points, one)
     middle = near.groupBy("variant").agg(F.min("fp").alias("root"), F.count(F.lit(1)).alias("n"))
     even = points.where(F.bit_count("fp") % 2 == 0)
