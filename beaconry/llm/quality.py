@@ -33,7 +33,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 20.0),
     ("symbols_per_word", None, 0.25),
     ("stop_word_share", 0.02, None),
-    ("dup_line_share", None, 0.3),
+    ("dup_line_share", None, 0.5),
     ("bar_share", None, 0.3),
     ("exclaimed_share", None, 0.5),
 )
