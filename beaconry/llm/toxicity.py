@@ -1,9 +1,10 @@
 """Toxicity (operator 2): gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features come from one map over the whole texts: lexicon densities, lexicon words near the second person, capitals,
-punctuation, and obfuscation (lexicon words that show only after digits and signs are read as letters). Trees and
-calibration learn from a bounded sample of labelled rows (``MOST_TRAINED``), the calibration from rows the trees did not
-see. The models are small, whatever the corpus, and score every row on the JVM.
+Features come from one map over the whole texts: densities of a fixed lexicon and of word beginnings learned from the
+training rows, lexicon words near the second person, capitals, punctuation, and obfuscation (lexicon words that show only
+after digits and signs are read as letters). Stems, trees and calibration learn from a bounded sample of labelled rows
+(``MOST_TRAINED``), the calibration from rows that neither stems nor trees have seen. The models are small, whatever the
+corpus, and score every row on the JVM.
 
 Labels come only from rows that are not held out; labels, lang, source and doc_id are no input of a score.
 
@@ -41,7 +42,9 @@ LEXICON = frozenset(
 SECOND_PERSON = frozenset(b"you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tus ti vosotros".split())
 #: Words between a lexicon word and a second person that still count as near.
 NEAR = 4
-FEATURES = ("per_word", "hits", "kinds", "near_second", "second_person", "capitals", "capital_words", "marks", "punctuation", "obfuscated", "digits", "long_runs", "words")
+FEATURES = ("per_word", "hits", "kinds", "near_second", "second_person", "capitals", "capital_words", "marks", "punctuation", "obfuscated", "digits", "long_runs", "words", "stem_per_word", "stem_hits", "stem_kinds")
+#: Learned stems: their bytes, and how much more often at least a toxic training row has one, in how many at least.
+STEM_BYTES, STEM_RATIO, STEM_LEAST, MOST_STEMS = (4, 5, 6), 20.0, 4, 1000
 
 _LETTERS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 #: Digits and signs read as the letters they stand for; all other signs are dropped with the blanks.
@@ -54,10 +57,14 @@ def _found(words: list[bytes]) -> list[int]:
     return [i for i, w in enumerate(words) if w in LEXICON]
 
 
-def features(text: bytes) -> tuple[float, ...]:
-    """The dense features of one text, in the order of ``FEATURES``."""
-    lower = text.lower()
-    words = lower.translate(_LETTERS).split()
+def _words(text: bytes) -> list[bytes]:
+    return text.lower().translate(_LETTERS).split()
+
+
+def features(text: bytes, stems: frozenset[bytes] = frozenset()) -> tuple[float, ...]:
+    """The dense features of one text, in the order of ``FEATURES``; ``stems`` are learned word beginnings."""
+    lower, words = text.lower(), _words(text)
+    stemmed = [w for w in words if w[:4] in stems or w[:5] in stems or w[:6] in stems] if stems else []
     n, size = max(len(words), 1), max(len(text), 1)
     hits = _found(words)
     # signs inside a word vanish here (i-d.i*o_t), digits and look-alikes become letters
@@ -70,15 +77,16 @@ def features(text: bytes) -> tuple[float, ...]:
     return (
         1000 * len(hits) / n, float(len(hits)), float(len({words[i] for i in hits})), 1000 * near / n, 1000 * second / n, count["capitals"] / size, shouted / n,
         1000 * count["marks"] / size, 1000 * count["punctuation"] / size, 1000 * hidden / n, 1000 * count["digits"] / size, 1000 * (text.count(b"!!") + text.count(b"??")) / n, float(n),
+        1000 * len(stemmed) / n, float(len(stemmed)), float(len(set(stemmed))),
     )
 
 
-def featured(docs: DataFrame) -> DataFrame:
+def featured(docs: DataFrame, stems: frozenset[bytes] = frozenset()) -> DataFrame:
     """(doc_id, held_out, one column per feature): a map."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            rows = [features(t.as_py(), stems) for t in batch.column("text").cast(pa.binary())]
             columns = zip(*rows, strict=True) if rows else [[]] * len(FEATURES)
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *FEATURES])
 
@@ -86,13 +94,37 @@ def featured(docs: DataFrame) -> DataFrame:
     return measured.select("doc_id", (id_remainder(3) == 1).alias("held_out"), *FEATURES)
 
 
+def learned_stems(texts: DataFrame) -> frozenset[bytes]:
+    """Word beginnings that mark the toxic rows of ``texts`` (text, label); at most ``MOST_STEMS`` reach the driver."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[bytes, list[int]] = {}
+            for text, label in zip(batch.column("text").cast(pa.binary()), batch.column("label").to_pylist(), strict=True):
+                for stem in {w[:n] for w in _words(text.as_py()) for n in STEM_BYTES if len(w) >= n}:
+                    counts.setdefault(stem, [0, 0])[int(label)] += 1
+            columns = [list(counts), [c[1] for c in counts.values()], [c[0] for c in counts.values()]]
+            yield pa.record_batch([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["stem", "toxic", "clean"])
+
+    rows = texts.groupBy("label").count().collect()
+    size = {int(r["label"]): r["count"] for r in rows}
+    if len(size) < 2:
+        return frozenset()
+    found = texts.select("text", "label").mapInArrow(of_batches, "stem binary, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ratio = (F.col("toxic") / size[1]) / ((F.col("clean") + 0.5) / size[0])
+    marks = found.where((F.col("toxic") >= STEM_LEAST) & (ratio >= STEM_RATIO)).orderBy(F.desc("toxic"), "stem").limit(MOST_STEMS)
+    return frozenset(bytes(r["stem"]) for r in marks.collect())
+
+
 def scored(docs: DataFrame, labels: DataFrame, most_trained: int = MOST_TRAINED) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
-    table = cut_lineage(featured(docs))
-    known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label"))
-    mixed = F.xxhash64("doc_id", F.lit(7))
-    sample = table.where(~F.col("held_out")).join(known, "doc_id").orderBy(mixed, "doc_id").limit(most_trained)
-    sample = cut_lineage(sample.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label"))
+    bounded = known.where(id_remainder(3) != 1).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(most_trained)
+    bounded = F.broadcast(cut_lineage(bounded.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0)))  # most_trained slim rows
+    texts = cut_lineage(id_and_text(docs).join(bounded, "doc_id"))
+    stems = learned_stems(texts.where("NOT calibrates"))
+    sample = cut_lineage(featured(texts, stems).join(bounded, "doc_id"))
+    table = featured(docs, stems)
     seen = {(r["calibrates"], r["label"]): r["count"] for r in sample.groupBy("calibrates", "label").count().collect()}
     total = sum(seen.values())
     if len(seen) < 4:

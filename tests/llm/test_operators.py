@@ -157,7 +157,7 @@ def test_toxicity_features_see_through_obfuscation():
     place = toxicity.FEATURES.index("obfuscated")
     assert toxicity.features(b"you are an 1d10t and st-up.id")[place] > 0
     assert toxicity.features(b"you are a fine person 1010")[place] == 0
-    assert toxicity.features(b"") == tuple([0.0] * (len(toxicity.FEATURES) - 1) + [1.0])
+    assert toxicity.features(b"") == tuple(float(f == "words") for f in toxicity.FEATURES)
 
 
 # media
