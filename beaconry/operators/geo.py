@@ -7,6 +7,7 @@ key: no nested loop, and no shuffle of the points while the edge cells are small
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -52,19 +53,40 @@ def ring_cells(edges: DataFrame, cell: float) -> DataFrame:
 
 def near_cells(edges: DataFrame, cell: float, fields: list[str] | None = None) -> DataFrame:
     """Cell -> edges within one cell height of any of its points, in kilometres at any latitude."""
-    top = F.least(F.lit(89.0), F.greatest(F.abs("y1"), F.abs("y2")) + 2 * cell)
-    wide = F.ceil(F.lit(1.0) / F.cos(F.radians(top)))
     rows = edges.withColumn("_iy", _range(F.least("y1", "y2"), F.greatest("y1", "y2"), cell, 1))
-    return _pack(rows.withColumn("_ix", _range(F.least("x1", "x2"), F.greatest("x1", "x2"), cell, wide)), fields or EDGE)
+    columns = _columns_around(F.least("x1", "x2"), F.greatest("x1", "x2"), F.greatest(F.abs("y1"), F.abs("y2")), cell)
+    return _pack(rows.withColumn("_ix", F.explode(columns)), fields or EDGE)
 
 
-def attach(points: DataFrame, cells: DataFrame, cell: float, wanted: Column | None = None) -> DataFrame:
-    """Points with the ``_edges`` of their cell; only rows where ``wanted`` holds look anything up."""
+def _column(lon: Column, cell: float) -> Column:
+    """Number of the cell column on a globe without an edge at 180 degrees."""
+    return F.pmod(F.floor(lon / cell), F.lit(math.ceil(360 / cell)))
 
-    def key(c: str) -> Column:
-        return F.floor(F.col(c) / cell) if wanted is None else F.when(wanted, F.floor(F.col(c) / cell))
 
-    keyed = points.withColumn("_ix", key("lon")).withColumn("_iy", key("lat"))
+def _columns_around(west: Column, east: Column, lat: Column, cell: float) -> Column:
+    """Columns within one cell height of a stretch, in kilometres; near a pole all of them.
+
+    One column more on either side covers the last one, which is narrower when the cell does not divide the circle.
+    """
+    n = math.ceil(360 / cell)
+    top = lat + 2 * cell
+    wide = F.ceil(F.lit(1.0) / F.cos(F.radians(F.least(F.lit(89.0), top)))) + 1
+    first, last = F.floor(west / cell) - wide, F.floor(east / cell) + wide
+    some = F.array_distinct(F.transform(F.sequence(first, last), lambda i: F.pmod(i, F.lit(n))))
+    return F.when((top >= 89) | (last - first >= n), F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).otherwise(some)
+
+
+def attach(points: DataFrame, cells: DataFrame, cell: float, wanted: Column | None = None, around: bool = False) -> DataFrame:
+    """Points with the ``_edges`` of their cell; only rows where ``wanted`` holds look anything up.
+
+    ``around`` goes with ``near_cells``, whose columns go round the globe.
+    """
+
+    def key(value: Column) -> Column:
+        return value if wanted is None else F.when(wanted, value)
+
+    column = _column(F.col("lon"), cell) if around else F.floor(F.col("lon") / cell)
+    keyed = points.withColumn("_ix", key(column)).withColumn("_iy", key(F.floor(F.col("lat") / cell)))
     return keyed.join(small_side(cells), ["_ix", "_iy"], "left").drop("_ix", "_iy")
 
 
@@ -96,7 +118,7 @@ def in_fence(points: DataFrame, edges: DataFrame, radius_km: float, cell: float
     """True inside any polygon or within ``radius_km`` of an edge. Points without a position get NULL."""
     held = polygons_at(points, edges, cell)
     reach = max(radius_km / g.KM_PER_DEG_LAT, cell / 8)
-    close = attach(held, near_cells(edges, reach), reach)
+    close = attach(held, near_cells(edges, reach), reach, around=True)
     near = F.exists("_edges", lambda e: g.segment_km(F.col("lon"), F.col("lat"), e) <= radius_km)
     placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     inside = (F.size("polygons") > 0) | F.coalesce(near, F.lit(False))
@@ -118,14 +140,14 @@ def nearest(
     while True:
         reach = cell * g.KM_PER_DEG_LAT
         open_ = F.col(column).isNull()
-        found = attach(out, near_cells(edges, cell), cell, open_)
+        found = attach(out, near_cells(edges, cell), cell, open_, around=True)
         best = F.array_min(F.transform("_edges", lambda e: distance(F.col("lon"), F.col("lat"), e)))
         found = found.withColumn("_best", best)
         settled = F.when(F.col("_best") <= min(reach, limit_km), F.col("_best"))
         out = found.withColumn(column, F.coalesce(F.col(column), settled)).drop("_edges", "_best")
         if reach >= limit_km:
             return out
-        cell *= 4
+        cell = min(4 * cell, 1.001 * limit_km / g.KM_PER_DEG_LAT)
 
 
 def as_edges(points: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -177,7 +199,7 @@ def coincident(points: DataFrame, reference: DataFrame, metres: float) -> DataFr
     """Points within a few metres of reference points: (point, ref_id, metres), through fine cells."""
     cell = 0.01
     refs = near_cells(as_edges(reference, ["ref_id"]), cell, ["ref_id", "x1", "y1"])
-    met = attach(points, refs, cell).where("_edges IS NOT NULL").withColumn("r", F.explode("_edges"))
+    met = attach(points, refs, cell, around=True).where("_edges IS NOT NULL").withColumn("r", F.explode("_edges"))
     distance = g.point_km(F.col("lon"), F.col("lat"), F.col("r.x1"), F.col("r.y1")) * 1000
     return met.withColumn("metres", distance).where(F.col("metres") < metres).withColumn("ref_id", F.col("r.ref_id")).drop("_edges", "r")
 
@@ -238,7 +260,7 @@ def coverage_audit(edges: DataFrame, frame: DataFrame, step: float, tolerance_km
     km2 = F.lit((step * g.KM_PER_DEG_LAT) * (step * g.KM_PER_DEG_LON))
     centres = raster(poly_boxes(edges, step), step).select("lon", "lat", "weight", F.round(F.col("lon") / step - 0.5).alias("cx"), F.round(F.col("lat") / step - 0.5).alias("cy"))
     cells = centres.groupBy("cx", "cy").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), F.first("weight").alias("weight"))
-    framed = attach(polygons_at(cells, edges), near_cells(frame, 8.0, ["x1", "y1", "x2", "y2"]), 8.0)
+    framed = attach(polygons_at(cells, edges), near_cells(frame, 8.0, ["x1", "y1", "x2", "y2"]), 8.0, around=True)
     inside = F.exists("_edges", lambda b: F.col("lon").between(b["x1"], b["x2"]) & F.col("lat").between(b["y1"], b["y2"]))
     flat = framed.select("weight", F.size("polygons").alias("n"), F.coalesce(inside, F.lit(False)).alias("framed"), F.explode("polygons").alias("poly_id"))
     summed = flat.groupBy("poly_id").agg(
@@ -295,9 +317,9 @@ def nearby(records: DataFrame, limit_km: float = 60.0, top: int = 8, finest: flo
     for cell in reversed(levels):
         last = cell == levels[0]
         reach = limit_km if last else cell * g.KM_PER_DEG_LAT
-        wide = F.ceil(F.lit(1.0) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + 2 * cell))))
-        asking = open_.withColumn("_ix", _range(F.col("lon"), F.col("lon"), cell, wide)).withColumn("_iy", _range(F.col("lat"), F.col("lat"), cell, 1))
-        offers = places.select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "members", F.floor(F.col("lon") / cell).alias("_ix"), F.floor(F.col("lat") / cell).alias("_iy"))
+        columns = _columns_around(F.col("lon"), F.col("lon"), F.abs("lat"), cell)
+        asking = open_.withColumn("_ix", F.explode(columns)).withColumn("_iy", _range(F.col("lat"), F.col("lat"), cell, 1))
+        offers = places.select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "members", _column(F.col("lon"), cell).alias("_ix"), F.floor(F.col("lat") / cell).alias("_iy"))
         km = F.round(g.great_circle_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 3)
         met = asking.join(offers, ["_ix", "_iy"]).withColumn("km", km).where(F.col("km") <= reach)
         flat = met.select("lon", "lat", "km", F.explode("members").alias("m")).select("lon", "lat", "km", "m.at", "m.id")

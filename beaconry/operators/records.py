@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beaconry.operators.scan import number_rows
-from beaconry.session import small_side
+from beaconry.session import cut_lineage, small_side
 
 # The base32 alphabet of record ids; its first ten characters carry the creation time.
 ALPHABET = "0123456789abcdefghjkmnpqrstvwxyz"
@@ -256,20 +256,26 @@ def prune_plan(files: DataFrame, keep: str, today: Column, days: int, max_files:
     return old.select("name", F.lit("age").alias("why")).unionByName(over.select("name", F.lit("count").alias("why")))
 
 
-def key_audit(rows: DataFrame, key: str, properties: str, allowed: list[str], forbidden: str, depth: int = 4) -> DataFrame:
-    """Property keys at every level of a JSON column: how often each occurs, forbidden or not listed."""
-    level = rows.select(key, F.lit("").alias("path"), F.col(properties).alias("json"))
-    found = None
-    for _ in range(depth):
-        names = F.explode(F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>")))
-        items = F.from_json("json", "array<string>")
-        as_map = F.from_json("json", "map<string,string>")
-        objects = level.select(key, "path", names.alias("name"), as_map.alias("m")).select(
-            key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "name").alias("path"), "name", F.col("m")[F.col("name")].alias("json")
+def key_audit(rows: DataFrame, properties: str, allowed: list[str], forbidden: str) -> DataFrame:
+    """Property keys at every level of a JSON column: how often each occurs, forbidden or not listed.
+
+    One pass per level over what the level before held inside, until nothing is nested any more. Items of a list count
+    as members of the key that holds it.
+    """
+    level, counts, top = rows.select(F.lit("").alias("path"), F.col(properties).alias("json")), None, True
+    while True:
+        items = F.transform(F.from_json("json", "array<string>"), lambda x: F.struct(F.col("path").alias("path"), F.lit(None).cast("string").alias("name"), x.alias("json")))
+        members = F.transform(
+            F.map_entries(F.from_json("json", "map<string,string>")),
+            lambda e: F.struct(F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), e["key"]).alias("path"), e["key"].alias("name"), e["value"].alias("json")),
         )
-        found = objects.select(key, "path", "name") if found is None else found.unionByName(objects.select(key, "path", "name"))
-        listed = objects.where(F.col("json").startswith("[")).select(key, "path", F.explode(items).alias("json"))
-        level = objects.where(F.col("json").startswith("{")).select(key, "path", "json").unionByName(listed)
-    top_level = ~F.col("path").contains(".")
-    verdict = F.when(F.col("name").rlike(forbidden), "forbidden").when(top_level & ~F.col("name").isin(*allowed), "not listed").otherwise("ok")
-    return found.withColumn("verdict", verdict).groupBy("path", "verdict").agg(F.count(F.lit(1)).alias("n"))
+        inner = cut_lineage(level.select(F.explode(F.when(F.col("json").startswith("["), items).otherwise(members)).alias("x")).select("x.*"))
+        unlisted = ~F.col("name").isin(*allowed) if top else F.lit(False)
+        verdict = F.when(F.col("name").rlike(forbidden), "forbidden").when(unlisted, "not listed").otherwise("ok")
+        found = inner.where("name IS NOT NULL").groupBy("path", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+        counts = found if counts is None else counts.unionByName(found)
+        # a list at the top leaves its items at the top
+        top = top and inner.where("name IS NOT NULL").isEmpty()
+        level = inner.where(F.col("json").startswith("{") | F.col("json").startswith("["))
+        if level.isEmpty():
+            return counts.groupBy("path", "verdict").agg(F.sum("n").alias("n"))

@@ -106,8 +106,12 @@ def halt_stats(framed: DataFrame, pivot: str, mode: str) -> DataFrame:
     )
 
 
+#: A series of trade values: never imports and exports, or several partners, in one number.
+SERIES = ["reporter", "partner", "flow"]
+
+
 def _window_values(stats: DataFrame, windows: DataFrame, code: str) -> DataFrame:
-    monthly = undivided(stats).groupBy("reporter", "period", F.col(code).alias("code")).agg(F.sum("value").alias("value"))
+    monthly = undivided(stats).groupBy(*SERIES, "period", F.col(code).alias("code")).agg(F.sum("value").alias("value"))
     return monthly.join(small_side(windows), ["reporter", "period"])
 
 
@@ -115,24 +119,24 @@ def _months_with_data(labelled: DataFrame) -> DataFrame:
     def months(label: str) -> Column:
         return F.count_distinct(F.when(F.col("label") == label, F.col("period"))).alias(f"months_{label}")
 
-    return labelled.groupBy("reporter").agg(months("before"), months("after"))
+    return labelled.groupBy(*SERIES).agg(months("before"), months("after"))
 
 
 def _compared(labelled: DataFrame) -> DataFrame:
-    """Per (reporter, code): window means over the months that have any data, and how they moved."""
+    """Per series and code: window means over the months that have any data, and how they moved."""
     after = F.col("label") == "after"
-    sums = labelled.groupBy("reporter", "code").agg(
+    sums = labelled.groupBy(*SERIES, "code").agg(
         F.coalesce(F.sum(F.when(~after, F.col("value"))), F.lit(0.0)).alias("sum_before"),
         F.coalesce(F.sum(F.when(after, F.col("value"))), F.lit(0.0)).alias("sum_after"),
         F.count_if(after & (F.col("value") > 0)).alias("months_present"),
         F.max(F.when(after, F.col("value"))).alias("top_month"),
     )
-    joined = sums.join(small_side(_months_with_data(labelled)), "reporter")
+    joined = sums.join(_months_with_data(labelled), SERIES)
     before = F.col("sum_before") / F.when(F.col("months_before") > 0, F.col("months_before"))
     mean_after = F.col("sum_after") / F.when(F.col("months_after") > 0, F.col("months_after"))
     change = F.when(F.coalesce(before, F.lit(0.0)) != 0, F.round(100 * (mean_after - before) / before, 1))
     return joined.select(
-        "reporter", "code", F.coalesce(F.round(before), F.lit(0.0)).alias("before"), F.coalesce(F.round(mean_after), F.lit(0.0)).alias("after"),
+        *SERIES, "code", F.coalesce(F.round(before), F.lit(0.0)).alias("before"), F.coalesce(F.round(mean_after), F.lit(0.0)).alias("after"),
         change.alias("change_pct"), "months_present", "months_after",
         F.coalesce(F.round(F.col("top_month") / F.when(F.col("sum_after") != 0, F.col("sum_after")), 3), F.lit(0.0)).alias("top_month_share"),
     )

@@ -175,12 +175,12 @@ def nearest_owner(spark, sf):
     e = edges(spark, sf)
     parts = e.where("ring_id = 1").select(F.col("poly_id").alias("part_id"), F.col("x1").alias("lon"), F.col("y1").alias("lat"))
     main = e.where("ring_id = 0")
-    owned = geo.nearest_owner(parts, {"a": main.where("poly_id % 4 = 1"), "b": main.where("poly_id % 4 = 3")}, 30.0)
+    owned = geo.nearest_owner(parts, {"a": main.where("poly_id % 2 = 1"), "b": main.where("poly_id % 2 = 0")}, 30.0)
     return owned.select("part_id", F.round("km_a", 4).alias("km_a"), F.round("km_b", 4).alias("km_b"), "owner")
 
 
-NEAREST_OWNER_SQL = f"""WITH {EDGES}, d AS (SELECT p.poly_id AS part_id, min({_segment_sql('p.x1', 'p.y1')}) FILTER (WHERE e.poly_id % 4 = 1) AS a,
-  min({_segment_sql('p.x1', 'p.y1')}) FILTER (WHERE e.poly_id % 4 = 3) AS b FROM edges p, edges e WHERE p.ring_id = 1 AND e.ring_id = 0 GROUP BY 1),
+NEAREST_OWNER_SQL = f"""WITH {EDGES}, d AS (SELECT p.poly_id AS part_id, min({_segment_sql('p.x1', 'p.y1')}) FILTER (WHERE e.poly_id % 2 = 1) AS a,
+  min({_segment_sql('p.x1', 'p.y1')}) FILTER (WHERE e.poly_id % 2 = 0) AS b FROM edges p, edges e WHERE p.ring_id = 1 AND e.ring_id = 0 GROUP BY 1),
 l AS (SELECT part_id, CASE WHEN a <= 30 THEN a END AS a, CASE WHEN b <= 30 THEN b END AS b FROM d)
 SELECT part_id, round(a, 4) AS km_a, round(b, 4) AS km_b, CASE WHEN a IS NOT NULL AND (b IS NULL OR a < b) THEN 'a' WHEN b IS NOT NULL THEN 'b' END AS owner FROM l"""
 

@@ -189,12 +189,16 @@ RECORDS_SCAN_SQL = f"""WITH {RECORDS} SELECT CASE kind WHEN 'evt' THEN 'event' E
 
 
 def vocab_dims(spark, sf):
-    """Terms of a vocabulary made of the frequent words of ``documents``, one region per language."""
+    """Terms of a vocabulary made of the common words of ``documents``, one region per language.
+
+    Common are words in at least a twentieth of a language's texts, so their number follows from the length of a text.
+    """
     from beaconry.functions.text import fold, squash, words
 
     path = scratch_path(spark, "vocabulary")
     common = signals(spark, sf).select("lang", F.explode(F.array_distinct(words(fold(squash(F.col("text")))))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = common.orderBy(F.col("n").desc(), "lang", "w").limit(200)
+    texts = signals(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
+    top = common.join(texts, "lang").where("20 * n >= of")
     by_lang = top.groupBy("lang").agg(F.sort_array(F.collect_list("w")).alias("terms"))
     regions = by_lang.agg(F.map_from_entries(F.collect_list(F.struct("lang", "terms"))).alias("regions"))
     weights = F.create_map(*[F.lit(v) for k in ("region", "topic", "title", "text", "feed_region") for v in (k, 0.5)])
@@ -205,7 +209,7 @@ def vocab_dims(spark, sf):
 
 
 VOCAB_DIMS_SQL = f"""WITH {SIGNALS}, w AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all({fold_sql('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM signals),
-t AS (SELECT lang, w, count(*) AS n FROM w GROUP BY 1, 2 ORDER BY n DESC, lang, w LIMIT 200)
+c AS (SELECT lang, count(*) AS o FROM signals GROUP BY 1), t AS (SELECT lang, w FROM w JOIN c USING (lang) GROUP BY lang, w, o HAVING 20 * count(*) >= o)
 SELECT 'region' AS kind, lang AS code, w AS term, FALSE AS is_prefix, 1 AS n_tokens FROM t UNION ALL SELECT 'topic', 'any', 'the', TRUE, 1 UNION ALL SELECT 'exclude', '', 'of the', FALSE, 2
 UNION ALL SELECT 'finding', c, 'margin', FALSE, 0 FROM (SELECT DISTINCT 'region/' || lang AS c FROM t UNION ALL SELECT 'topic/any' UNION ALL SELECT 'exclude/')"""
 
@@ -224,14 +228,14 @@ def insert_absent(spark, sf):
     """Two overlapping batches and a replay of the first into one table."""
     path = scratch_path(spark, "signals")
     rows = signals(spark, sf).select(F.md5("text").alias("content_hash"), "doc_id", "lang")
-    first, second = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 2 = 0")
+    first, second = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 2 = 0 OR doc_id % 3 = 0")
     for batch in (first, second, first):
         tables.insert_absent(spark, path, batch, ["content_hash"], ["doc_id"])
     return spark.read.parquet(path)
 
 
-INSERT_ABSENT_SQL = """WITH r AS (SELECT md5(text) AS content_hash, doc_id, lang, CASE WHEN doc_id % 3 <> 0 THEN 1 WHEN doc_id % 2 = 0 THEN 2 END AS b FROM documents)
-SELECT content_hash, doc_id, lang FROM r WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY b, doc_id) = 1"""
+INSERT_ABSENT_SQL = """WITH r AS (SELECT md5(text) AS content_hash, doc_id, lang, CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 2 END AS b FROM documents)
+SELECT content_hash, doc_id, lang FROM r QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY b, doc_id) = 1"""
 
 
 def usage_upsert(spark, sf):

@@ -85,11 +85,11 @@ COLOCATED_SQL = f"WITH {RECORDS} SELECT floor(lon) AS lon, floor(lat) AS lat, co
 
 
 def unplaced(spark, sf):
-    return rec.unplaced(records(spark, sf).where("status <> 'unverified' OR size(regions) = 2"))
+    return rec.unplaced(records(spark, sf))
 
 
 UNPLACED_SQL = f"""WITH {RECORDS} SELECT regions[1] AS region, count(*) AS n, CASE WHEN bool_or(status = 'unverified') THEN 'unverified' ELSE arg_max(status, {{'s': start, 'i': id}}) END AS mark
-FROM recs WHERE lon IS NULL AND len(regions) > 0 AND (status <> 'unverified' OR len(regions) = 2) GROUP BY 1"""
+FROM recs WHERE lon IS NULL AND len(regions) > 0 GROUP BY 1"""
 
 
 def publishers(spark, sf):
@@ -307,13 +307,13 @@ SELECT name, 'age' AS why FROM k WHERE old UNION ALL SELECT name, 'count' FROM k
 
 
 def key_audit(spark, sf):
-    nested = "concat('{\"id\":', event_id, ',\"note\":{\"text\":\"a\",\"', if(event_id % 10 = 0, 'position', 'detail'), '\":1},\"sources\":[{\"url\":\"u\",\"', if(event_id % 25 = 0, 'troop_count', 'date'), '\":2}],\"', if(event_id % 50 = 0, 'extra', 'status'), '\":', props, '}')"
+    nested = "concat('{\"id\":', event_id, ',\"note\":{\"text\":\"a\",\"', if(event_id % 10 = 0, 'position', 'detail'), '\":1},\"sources\":[{\"url\":\"u\",\"', if(event_id % 25 = 0, 'troop_count', 'date'), '\":2}],\"', if(event_id % 50 = 0, 'extra', 'status'), '\":', props, ',\"deep\":{\"a\":[{\"b\":{\"c\":{\"d\":{\"position\":1}}}}]}}')"
     rows = read(spark, sf, "events").select("event_id", F.expr(nested).alias("properties"))
-    return rec.key_audit(rows, "event_id", "properties", ["id", "note", "sources", "status"], "(?i)troop|position|coord")
+    return rec.key_audit(rows, "properties", ["id", "note", "sources", "status", "deep"], "(?i)troop|position|coord")
 
 
 KEY_AUDIT_SQL = """WITH p AS (SELECT event_id, unnest([['id', 'ok'], ['note', 'ok'], ['note.text', 'ok'], CASE WHEN event_id % 10 = 0 THEN ['note.position', 'forbidden'] ELSE ['note.detail', 'ok'] END, ['sources', 'ok'], ['sources.url', 'ok'],
-  CASE WHEN event_id % 25 = 0 THEN ['sources.troop_count', 'forbidden'] ELSE ['sources.date', 'ok'] END, CASE WHEN event_id % 50 = 0 THEN ['extra', 'not listed'] ELSE ['status', 'ok'] END, CASE WHEN event_id % 50 = 0 THEN ['extra.k', 'ok'] ELSE ['status.k', 'ok'] END]) AS x FROM events)
+  CASE WHEN event_id % 25 = 0 THEN ['sources.troop_count', 'forbidden'] ELSE ['sources.date', 'ok'] END, CASE WHEN event_id % 50 = 0 THEN ['extra', 'not listed'] ELSE ['status', 'ok'] END, CASE WHEN event_id % 50 = 0 THEN ['extra.k', 'ok'] ELSE ['status.k', 'ok'] END, ['deep', 'ok'], ['deep.a', 'ok'], ['deep.a.b', 'ok'], ['deep.a.b.c', 'ok'], ['deep.a.b.c.d', 'ok'], ['deep.a.b.c.d.position', 'forbidden']]) AS x FROM events)
 SELECT x[1] AS path, x[2] AS verdict, count(*) AS n FROM p GROUP BY 1, 2"""
 
 

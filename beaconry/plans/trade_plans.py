@@ -122,12 +122,12 @@ HALT_STATS_SQL = f"""WITH {STATS}, {MIRROR}, {FRAMED} SELECT a, b, round(avg(a_e
 
 
 def _compared_sql(code: str) -> str:
-    return f"""lab AS (SELECT m.*, label FROM (SELECT reporter, period, {code} AS code, sum(value) AS value FROM und GROUP BY 1, 2, 3) m JOIN win USING (reporter, period)),
-mon AS (SELECT reporter, count(DISTINCT period) FILTER (WHERE label = 'before') AS mb, count(DISTINCT period) FILTER (WHERE label = 'after') AS ma FROM lab GROUP BY 1),
-sm AS (SELECT reporter, code, coalesce(sum(value) FILTER (WHERE label = 'before'), 0) AS sb, coalesce(sum(value) FILTER (WHERE label = 'after'), 0) AS sa,
-  count(*) FILTER (WHERE label = 'after' AND value > 0) AS months_present, max(value) FILTER (WHERE label = 'after') AS top FROM lab GROUP BY 1, 2),
-cmp AS (SELECT *, sb / nullif(mb, 0) AS b, sa / nullif(ma, 0) AS a FROM sm JOIN mon USING (reporter)),
-res AS (SELECT reporter, code, coalesce(round(b), 0) AS before, coalesce(round(a), 0) AS after, CASE WHEN coalesce(b, 0) <> 0 THEN round(100 * (a - b) / b, 1) END AS change_pct, months_present,
+    return f"""lab AS (SELECT m.*, label FROM (SELECT reporter, partner, flow, period, {code} AS code, sum(value) AS value FROM und GROUP BY 1, 2, 3, 4, 5) m JOIN win USING (reporter, period)),
+mon AS (SELECT reporter, partner, flow, count(DISTINCT period) FILTER (WHERE label = 'before') AS mb, count(DISTINCT period) FILTER (WHERE label = 'after') AS ma FROM lab GROUP BY 1, 2, 3),
+sm AS (SELECT reporter, partner, flow, code, coalesce(sum(value) FILTER (WHERE label = 'before'), 0) AS sb, coalesce(sum(value) FILTER (WHERE label = 'after'), 0) AS sa,
+  count(*) FILTER (WHERE label = 'after' AND value > 0) AS months_present, max(value) FILTER (WHERE label = 'after') AS top FROM lab GROUP BY 1, 2, 3, 4),
+cmp AS (SELECT *, sb / nullif(mb, 0) AS b, sa / nullif(ma, 0) AS a FROM sm JOIN mon USING (reporter, partner, flow)),
+res AS (SELECT reporter, partner, flow, code, coalesce(round(b), 0) AS before, coalesce(round(a), 0) AS after, CASE WHEN coalesce(b, 0) <> 0 THEN round(100 * (a - b) / b, 1) END AS change_pct, months_present,
   coalesce(round(top / nullif(sa, 0), 3), 0) AS top_month_share, ma FROM cmp)"""
 
 

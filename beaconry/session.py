@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder all executors can reach: ``spark.checkpoint.dir``; unset, a temporary one on one machine only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if configured is None and context.getCheckpointDir() is None and not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="beaconry-"))
     return configured or context.getCheckpointDir()
@@ -61,7 +64,14 @@ def size_estimate(df: DataFrame) -> int:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast ``df`` when its estimated size allows it, otherwise leave the join to shuffle."""
+    """Broadcast ``df`` when its estimated size allows it, otherwise leave the join to shuffle.
+
+    Estimates do not see how far generators and collected arrays spread or pack rows, so sides with any are left to
+    adaptive execution, which knows their size when they have run.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Generate", "collect_list", "collect_set")):
+        return df
     return F.broadcast(df) if size_estimate(df) <= limit else df
 
 
