@@ -56,27 +56,23 @@ PROTECTED_TERMS = ["ingha", "queque", "on the th", "de la men"]
 POSITION_STEMS = ["tionan", "geund"]
 
 # Warnings.
-STATIONS = [("A", "Amber Point"), ("H", "Harbour Head"), ("L", "Lime Rock"), ("K", "Kestrel Bay")]
+STATIONS = [("D", "Dune Point"), ("F", "Fern Head"), ("P", "Pine Rock"), ("T", "Teal Bay")]
 SUBJECTS = [("A", "navigational warning"), ("B", "meteorological warning"), ("D", "search and rescue")]
 SEAS = ["NORTH REACH", "AMBER GULF", "OPEN OCEAN", "FAR BASIN", "OUTER SHELF", "COLD DRIFT", "LOW STRAIT"]
 OWN_SEAS = ["NORTH REACH", "AMBER GULF"]
 OWN_BOX = (19.0, 30.0, 30.0, 40.0)
 AUTHORITIES = ["AMBER RADIO", "HALCYON COORDINATION", "LIME OFFICE.", "NORDWIND NAVY", "PORT HALCYON", None, "OSTRIA SERVICE", "OSTRIA NAVY", "QUARTZ MET"]
 EXCLUDED_ISSUER = r"\bNORDWIND\b|OSTRIA NAVY"
-EXCLUDED_SUBJECT = r"^\s*[A-Z ]*\bNORDWIND\b"
+EXCLUDED_SUBJECT = r"\bNORDWIND (?:RANGE|NAVY)\b"
 ACTIVITIES = [
-    (0, "firing", "GUNNERY"),
-    (0, "firing", "LIVE FIRE"),
-    (1, "hazard", "HAZARDOUS OPERATION"),
-    (2, "launch", "ROCKET LAUNCH"),
-    (3, "exercise", "EXERCISE"),
-    (4, "survey", "SURVEY"),
-    (4, "survey", "SEISMIC"),
-    (5, "cable", "CABLE"),
-    (6, "navaid", "LIGHT"),
-    (6, "navaid", "BUOY"),
+    (0, "shooting", "TARGET PRACTICE"),
+    (1, "drill", "DRILL"),
+    (2, "mapping", "SOUNDING"),
+    (2, "mapping", "MAPPING"),
+    (3, "salvage", "SALVAGE"),
+    (4, "drift", "DRIFTING"),
 ]
-GROUPS = {"firing": "military", "hazard": "military", "launch": "military", "exercise": "military", "survey": "survey"}
+GROUPS = {"shooting": "military", "drill": "military", "mapping": "survey"}
 CELL_DEG = 0.25
 MAX_SPAN_DEG2 = 9.0
 DENSITY_YEARS = (2015, 2021)

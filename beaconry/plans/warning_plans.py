@@ -36,11 +36,11 @@ def _text(sql: bool) -> str:
 
     year, month = pad("12 + event_id % 12", 2), pick("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC", "(event_id % 12) * 3 + 1", 3)
     stamp_ = f"{pad('event_id % 31 + 1', 2)}, {pad('event_id % 24', 2)}, {pad('event_id % 60', 2)}"
-    header = f"concat('ZCZC ', {pick('AHLKQ', 'event_id % 5 + 1')}, {pick('ABDQ', 'event_id % 4 + 1')}, {pad('event_id % 100', 2)}, ' ', {stamp_}, ' UTC ', {month}, ' ', {year}, ' ')"
+    header = f"concat('ZCZC ', {pick('DFPTQ', 'event_id % 5 + 1')}, {pick('ABDQ', 'event_id % 4 + 1')}, {pad('event_id % 100', 2)}, ' ', {stamp_}, ' UTC ', {month}, ' ', {year}, ' ')"
     sea = f"{seas}[event_id % 7 + 1]" if sql else f"element_at(array{seas.replace('[', '(').replace(']', ')')}, cast(event_id % 7 as int) + 1)"
     cancels = "event_id % 11 = 0 and event_id % 2 = 1"
-    activity = """(case event_type when 'click' then 'LIVE FIRE EXERCISE. ' when 'view' then 'SEISMIC SURVEY. '
-        when 'error' then 'HAZARDOUS OPERATIONS. ' when 'purchase' then 'BUOY UNLIT. ' else 'FIREWORKS ASHORE. ' end)"""
+    activity = """(case event_type when 'click' then 'TARGET PRACTICE AND DRILL. ' when 'view' then 'SOUNDING AND MAPPING. '
+        when 'error' then 'SALVAGE OPERATIONS. ' when 'purchase' then 'DRIFTING TIMBER. ' else 'FIREWORKS ASHORE. ' end)"""
     parts = [
         when("event_id % 3 = 0", header),
         when("event_id % 2 = 0", f"concat('LIME  ROCK RADIO NAVWARN ', {pad('event_id % 900', 3)}, '/', {year}, ' ')"),

@@ -104,10 +104,10 @@ def test_safety_order_and_counts(spark):
 
 
 def test_warning_positions_and_activity(spark):
-    message = "AREA 38-32.20N 025-36.56E 38 32.20 N 025 36.56 E 3832,20N/02536,56E 38-32-12N 025-36-34E 95-00N 010-00E"
+    message = "AREA 41-15.60N 007-30.90W 41 15.60 N 007 30.90 W 4115,60N/00730,90W 41-15-36N 007-30-55W 95-00N 010-00E"
     found = one(spark, wa.positions_of(F.col("v")), message)
-    assert [(p.lat, p.lon) for p in found] == [(38.536667, 25.609333), (38.536667, 25.609444)]
-    assert one(spark, wa.activity_of(F.col("v"), dims.ACTIVITIES), "live fire exercise") == "firing"
+    assert [(p.lat, p.lon) for p in found] == [(41.26, -7.515), (41.26, -7.515278)]
+    assert one(spark, wa.activity_of(F.col("v"), dims.ACTIVITIES), "night drill after target practice") == "shooting"
     assert one(spark, wa.cancellation_only(F.col("v")), "CANCEL NAVWARN 12/24.") is True
     assert one(spark, wa.cancellation_only(F.col("v")), "IN POSITION X. CANCEL 12/24.") is False
 
