@@ -220,13 +220,12 @@ def screen_text(spark, sf):
     return screened.select("doc_id", "safe", "reason", "positional", F.md5("message").alias("message_md5"))
 
 
+_COORDINATES = " OR ".join(f"regexp_matches(message, {sql_literal(p)})" for p in text.COORDINATE_PATTERNS)
 SCREEN_TEXT_SQL = rf"""
 WITH m AS (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN ' near 36.8021 N' WHEN 1 THEN ' at 36° 48'' N' WHEN 2 THEN ' grid 37S DH 1234 5678' ELSE '' END AS message FROM documents),
 f AS (SELECT doc_id, message, {fold_sql('message')} AS x FROM m),
 g AS (SELECT *, CASE WHEN {' OR '.join(_term_sql('x', t, True) for t in _TERMS)} THEN 'protected'
-   WHEN regexp_matches(message, '(?i)(^|[^\p{{L}}\p{{N}}])\d{{1,3}}[.,]\d{{3,}}\s*°?\s*[NSEWKGDB]($|[^\p{{L}}\p{{N}}])')
-     OR regexp_matches(message, '\d{{1,3}}\s*°\s*\d{{1,2}}\s*[''′]')
-     OR regexp_matches(message, '(^|[^\p{{L}}\p{{N}}])\d{{1,2}}[C-HJ-NP-X]\s?[A-HJ-NP-Z]{{2}}\s?\d{{2,10}}($|[^\p{{L}}\p{{N}}])') THEN 'coordinates' END AS reason,
+   WHEN {_COORDINATES} THEN 'coordinates' END AS reason,
    {' OR '.join(f"contains(x, '{s}')" for s in dims.POSITION_STEMS)} AS "positional" FROM f)
 SELECT doc_id, reason IS NULL AS safe, reason, "positional", CASE WHEN reason IS NULL THEN md5(message) END AS message_md5 FROM g"""
 
