@@ -39,7 +39,7 @@ from beaconry.session import scratch_path
 
 LENGTH, GRAM = 100, 24
 #: Bytes of text listed at once, bytes of a shard's array, different segments of an anchor that share a shard.
-BLOCK, ARRAY, HOT = 1 << 20, 1 << 22, 4096
+BLOCK, ARRAY, HOT = 1 << 20, 3 << 20, 4096
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
 #: Stands for a null id in the order of documents.
