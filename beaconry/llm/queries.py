@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import bloom, bpe, media, ngrams, packing, quality, shards, simhash, substrings, toxicity
+from beaconry.llm import bloom, bpe, media, ngrams, packing, quality, shards, simhash, substrings, toxicity, twins
 from beaconry.session import use_utc
 
 
@@ -71,4 +71,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_media, op4_shards, op5_ngram_scores, op6_packing, op7_url_cascade, op8_bpe, op9_quality, op10_simhash)}
-ORACLES: dict[str, str] = {}
+ORACLES = twins.oracles()
