@@ -19,6 +19,23 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id`` and ``__tag``, never null: rows that agree in both have the same id and text.
+
+    A null id shares the place of the smallest number, so rows without an id are told apart by their texts.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__tag": F.xxhash64(text)})
+
+
+def one_of_equals(rows: DataFrame) -> DataFrame:
+    """One row for each ``__id`` and ``__tag``, that of the smallest row hash, without these two columns."""
+    names = [c for c in rows.columns if c not in ("__id", "__tag")]
+    hashed = [F.col(f"`{c}`") for c in names if "map<" not in rows.schema[c].dataType.simpleString()]
+    least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.xxhash64(*hashed))
+    return rows.groupBy("__id", "__tag").agg(least.alias("__row")).select("__row.*")
+
+
 def id_remainder(of: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``of``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of

@@ -43,6 +43,8 @@ LENGTH, WINDOW, END = 1024, 64, 0
 MOST_QUEUES = 4096
 #: Rows of the offset table (partitions times sources) that may be broadcast; above, the join is by shuffle.
 MOST_BROADCAST = 500_000
+#: Numbers that a task remembers of the states it has worked out.
+MOST_STATES = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
 
 
@@ -127,7 +129,7 @@ class Rounds:
     def __init__(self, totals: list[int], weights: list[int]):
         self.totals, self.weights = totals, weights
         self.all = sum(totals)
-        self.served = lru_cache(200_000)(self._served)
+        self.served = lru_cache(max(256, MOST_STATES // max(1, len(totals))))(self._served)
 
     def _served(self, tokens: int) -> tuple[int, ...]:
         if tokens >= self.all:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import id_and_text
+from beaconry.llm.common import id_and_text, one_of_equals, told_apart
 from beaconry.session import cut_lineage
 
 #: Words per shingle, most differing bits, and the hash seed of the contract.
@@ -53,14 +53,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one map over the whole texts."""
+    """(doc_id, tag, fp): one map over the whole texts; ``tag`` is a hash of the text."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.record_batch([batch.column("doc_id"), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), fps], ["doc_id", "tag", "fp"])
 
-    return id_and_text(docs).mapInArrow(of_batches, "doc_id long, fp long")
+    tagged = id_and_text(docs).withColumn("tag", F.xxhash64("text"))
+    return tagged.mapInArrow(of_batches, "doc_id long, tag long, fp long")
 
 
 def _masks() -> tuple[list[int], list[int]]:
@@ -113,12 +115,18 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.toDF("node", "label") if labels is None else labels
 
 
+def labelled(marked: DataFrame) -> DataFrame:
+    """(fp, label): the component of every distinct fingerprint of ``marked``."""
+    points = cut_lineage(marked.select("fp").distinct())
+    labels = contracted(ball_links(points)).withColumnRenamed("node", "fp")
+    return points.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links of three bits or fewer."""
     marked = cut_lineage(fingerprints(docs, shingle))
-    points = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = contracted(ball_links(points.select("fp")))
-    named = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = cut_lineage(labelled(marked).join(first, "fp"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(smallest, "label").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -126,8 +134,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one that gives the component its id.
 
-    Of rows that repeat this id one stays, picked by the smallest whole row; rows of a component without any id leave one.
+    Components without any id keep the text of the smallest hash; of rows equal in id and text one stays.
     """
-    found = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    marked = cut_lineage(fingerprints(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag")
+    firsts = marked.groupBy("fp").agg(F.min(place).alias("first"))
+    chosen = labelled(marked).join(firsts, "fp").groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    chosen = chosen.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("tag").alias("__tag"))
+    return one_of_equals(told_apart(docs).join(chosen, ["__id", "__tag"], "left_semi"))

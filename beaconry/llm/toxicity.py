@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import id_and_text, id_remainder
+from beaconry.llm.common import id_and_text, id_remainder, told_apart
 from beaconry.session import cut_lineage
 
 #: Labelled rows that the models learn from at most, the smallest by a hash of the id.
@@ -82,16 +82,17 @@ def features(text: bytes, stems: frozenset[bytes] = frozenset()) -> tuple[float,
 
 
 def featured(docs: DataFrame, stems: frozenset[bytes] = frozenset()) -> DataFrame:
-    """(doc_id, held_out, one column per feature): a map."""
+    """(doc_id, tag, held_out, one column per feature): a map; ``tag`` is a hash of the text."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py(), stems) for t in batch.column("text").cast(pa.binary())]
             columns = zip(*rows, strict=True) if rows else [[]] * len(FEATURES)
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *FEATURES])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", "tag", *FEATURES])
 
-    measured = id_and_text(docs).mapInArrow(of_batches, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
-    return measured.select("doc_id", (id_remainder(3) == 1).alias("held_out"), *FEATURES)
+    tagged = id_and_text(docs).withColumn("tag", F.xxhash64("text"))
+    measured = tagged.mapInArrow(of_batches, "doc_id long, tag long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return measured.select("doc_id", "tag", (id_remainder(3) == 1).alias("held_out"), *FEATURES)
 
 
 def learned_stems(texts: DataFrame) -> frozenset[bytes]:
@@ -117,7 +118,7 @@ def learned_stems(texts: DataFrame) -> frozenset[bytes]:
 
 
 def scored(docs: DataFrame, labels: DataFrame, most_trained: int = MOST_TRAINED) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``."""
+    """(doc_id, held_out, score, predicted, tag) for every row of ``docs``."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label"))
     bounded = known.where(id_remainder(3) != 1).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(most_trained)
     bounded = F.broadcast(cut_lineage(bounded.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0)))  # most_trained slim rows
@@ -144,10 +145,10 @@ def scored(docs: DataFrame, labels: DataFrame, most_trained: int = MOST_TRAINED)
 
 def _decided(rows: DataFrame) -> DataFrame:
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return rows.select("doc_id", "held_out", score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.select("doc_id", "held_out", score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "tag")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with all their columns; of rows that share an id any toxic one takes all."""
-    bad = scored(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__toxic_id"]), "left_anti")
+    """The documents not predicted toxic, with all their columns; of rows that share an id each is judged by its own text."""
+    bad = scored(docs, labels).where("predicted = 1").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("tag").alias("__tag")).distinct()
+    return told_apart(docs).join(bad, ["__id", "__tag"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

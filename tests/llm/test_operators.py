@@ -149,6 +149,8 @@ def test_toxicity_learns_and_holds_out(spark, empty):
         assert r["held_out"] == (zlib.crc32(name.encode()) % 3 == 1)
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) == (r["doc_id"] in bad)
     assert toxicity.drop_toxic(docs, labels).count() == len(table) - len(bad)
+    shared = docs.unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(7).cast("long")))
+    assert toxicity.drop_toxic(shared, labels).count() == len(table) - len(bad)
     assert {r["score"] for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.scored(empty, labels).count() == 0
 
@@ -461,6 +463,16 @@ def test_fingerprints_and_components_match_brute_force(spark, docs, rows, empty)
     kept = simhash.first_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len(smallest)
     assert simhash.components(empty).count() == 0
+    assert simhash.first_of_each(empty).count() == 0
+
+
+def test_rows_without_or_with_shared_ids_are_told_apart_by_text(spark):
+    rng = random.Random(9)
+    one, two, three, four = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(4))
+    table = [(None, one, 1), (None, two, 2), (None, two, 3), (7, three, 4), (7, four, 5), (8, three, 6), (None, four, 7)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, label int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.first_of_each(docs).collect()), key=str)
+    assert kept == sorted([(None, one), (None, two), (7, three), (7, four)], key=str)
 
 
 def test_balls_link_all_within_three_bits(spark):
