@@ -10,8 +10,8 @@ from beaconry.session import cut_lineage
 
 
 def write_run(candidates: DataFrame, path: str) -> None:
-    """The whole run, one folder per day and status; nothing collected is lost."""
-    candidates.write.mode("append").partitionBy("run_day", "status").parquet(path)
+    """The whole run, one folder per day; nothing collected is lost, and a rerun replaces its day."""
+    candidates.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_day").parquet(path)
 
 
 def absent_rows(table: DataFrame, batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:

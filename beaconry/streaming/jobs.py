@@ -68,7 +68,7 @@ def ingest_stream(
     def each(pointers: DataFrame, _: int) -> None:
         pointers = cut_lineage(pointers.dropDuplicates(["batch_id"]))
         refused = ingest_batch(spark, read_files(pointers), pointers, store, rule_set, max_rows, max_writes)
-        refused.write.mode("append").parquet(f"{store}/refused")
+        tables.insert_absent(spark, f"{store}/refused", refused, ["batch_id"], ["reason"])
 
     return start(arrivals, each, checkpoint)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from beaconry import session
 from beaconry.operators import geo, records, trade
+from beaconry.sinks import tables
 
 
 def test_neighbours_meet_across_the_date_line_and_at_the_pole(spark):
@@ -52,3 +53,11 @@ def test_spread_sides_are_not_broadcast_by_hint(spark):
     assert "ResolvedHint" not in hinted
     small = session.small_side(spark.range(3).select(F.col("id")))._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in small
+
+
+def test_a_rerun_replaces_its_day_only(spark, tmp_path):
+    path = str(tmp_path / "run")
+    for day, status, n in (("2024-01-01", "new", 3), ("2024-01-02", "new", 4), ("2024-01-02", "dropped", 2)):
+        tables.write_run(spark.range(n).select("id", F.lit(status).alias("status"), F.lit(day).alias("run_day")), path)
+    got = {(str(r["run_day"]), r["status"]): r["count"] for r in spark.read.parquet(path).groupBy("run_day", "status").count().collect()}
+    assert got == {("2024-01-01", "new"): 3, ("2024-01-02", "dropped"): 2}
