@@ -32,11 +32,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of all documents into 40 shards."""
-    docs = table(spark, sf_dir, "documents")
+    placed = shards.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.select("doc_id", (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = shards.shuffled(slim)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, digest = (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
+    return placed.select("doc_id", size, digest, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ cell, a cell being a slice of a shard small enough to order in one task. It is t
 draw of a uniform permutation: partitions form a binary tree and each node splits its cell counts between its two
 halves by a draw seeded with the node alone. So no task and no driver holds the matrix: a task walks from the root to
 its own leaf and gets its row. It then permutes its rows locally, deals them to cells by the drawn counts, and after the
-exchange each cell orders its rows by a second random key. A retried task draws the same numbers, and its input is a
+exchange each cell orders its rows, whole with all columns, by a second random key. Cells are small enough in rows and, on
+average, in bytes; a single row may be longer. A retried task draws the same numbers, and its input is a
 checkpoint, so lost executors change nothing.
 
 Defined cases: a null text has no bytes; null ids, repeated rows and ties are rows like any other; fewer rows than
@@ -28,6 +29,8 @@ from beaconry.session import cut_lineage
 SHARDS, SEED = 40, 2024
 #: Rows that one task orders at once: cells are slices of shards with at most this many rows.
 CELL_ROWS = 50_000
+#: Bytes that a cell may hold on average.
+CELL_BYTES = 32 * 1024 * 1024
 #: Numpy draws exactly below this population; above it the draw inverts the distribution around its mode.
 _NUMPY_POPULATION = 10**9
 
@@ -89,15 +92,28 @@ def cell_sizes(rows: int, shards: int, cell_rows: int) -> tuple[np.ndarray, np.n
     return cells.ravel(), np.repeat(np.arange(shards), parts), (np.cumsum(cells, axis=1) - cells).ravel()
 
 
-def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
+def row_bytes(rows: DataFrame):
+    """About how many bytes a row has."""
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    other = [F.col(f"`{c}`") if isinstance(rows.schema[c].dataType, T.BinaryType) else F.col(f"`{c}`").cast("string") for c in rows.columns if c not in plain]
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in other), F.lit(8 * (1 + len(plain))).cast("long"))
+
+
+def rows_of_cells(rows: int, size: int, cell_rows: int, cell_bytes: int) -> int:
+    """Most rows of a cell when ``rows`` rows have ``size`` bytes together."""
+    return max(1, min(cell_rows, rows * cell_bytes // max(1, size)))
+
+
+def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """All rows with two more columns, ``shard`` and ``slot``: a uniform permutation into exact shard sizes."""
     fixed = cut_lineage(rows)
-    counted = fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # a number per partition
+    counted = fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(fixed)).alias("size")).collect()  # two numbers per partition
     counts = np.zeros(max((r["p"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["p"]] = r["n"]
     before = np.concatenate([[0], np.cumsum(counts)])
-    cells, cell_shard, cell_slot = cell_sizes(int(before[-1]), shards, cell_rows)
+    most = rows_of_cells(int(before[-1]), sum(r["size"] for r in counted), cell_rows, cell_bytes)
+    cells, cell_shard, cell_slot = cell_sizes(int(before[-1]), shards, most)
     total = len(cells)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
