@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -48,6 +49,9 @@ LENGTH, WINDOW, END = 1024, 64, 0
 MOST_QUEUES = 4096
 #: Rows of the offset table (partitions times sources) that may be broadcast; above, the join is by shuffle.
 MOST_BROADCAST = 500_000
+#: Blanks in a row that the rank encoder is not given.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 #: Numbers that a task remembers of the states it has worked out.
 MOST_STATES = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
@@ -60,29 +64,44 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def byte_tokens(path: str) -> list[bytes]:
+    """The bytes of every token of a byte-level BPE file, by id."""
+    content = json.loads(Path(path).read_text())
+    stand_in, added = _byte_characters(), {t["content"] for t in content.get("added_tokens", ())}
+    vocabulary = content["model"]["vocab"] | {t["content"]: t["id"] for t in content.get("added_tokens", ())}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = token.encode() if token in added else bytes(stand_in[c] for c in token)
+    return out
+
+
 class Encoder:
     """The ids of a byte-level BPE file.
 
     When ids follow the order of merges, as in the public files, a rank encoder gives the same ids several times faster.
-    Texts with the string of an added token, and files of another kind, go through the tokenizer itself.
+    Texts with the string of an added token, texts with a very long run of blanks, on which the rank encoder's pattern
+    runs out of stack, and files of another kind go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, plain: bool = False):
+        """With ``plain`` the strings of added tokens are text like any other."""
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
         content = json.loads(Path(path).read_text())
-        self.added = [t["content"] for t in content.get("added_tokens", ())]
+        added = [t["content"] for t in content.get("added_tokens", ())]
+        self.added = [] if plain else added
         vocabulary, merges = dict(content["model"]["vocab"]), content["model"].get("merges", [])
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         order = [vocabulary[a + b] for a, b in pairs]
         self.fast = None
         if order == sorted(order) and content.get("pre_tokenizer", {}).get("type") == "ByteLevel" and not content.get("normalizer"):
             stand_in = _byte_characters()
-            ranks = {bytes(stand_in[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
+            ranks = {bytes(stand_in[c] for c in token): i for token, i in vocabulary.items() if token not in added}
             if len(ranks) == 256 + len(order):
                 self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or any(t in text for t in self.added):
+        if self.fast is None or any(t in text for t in self.added) or (len(text) > LONG_RUN and _LONG_RUN.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text)
 
