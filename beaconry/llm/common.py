@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to a word.
@@ -36,6 +36,17 @@ def one_of_equals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("__id", "__tag").agg(least.alias("__row")).select("__row.*")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread_by: Column, salts: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each value of ``keys``; rows without an entry are left out.
+
+    A key of very many rows is dealt over ``salts`` tasks by ``spread_by``. An entry is repeated for the salts that occur with
+    its key only, so entries of rare keys are not multiplied.
+    """
+    salted = rows.withColumn("__salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
+    entries = salted.select(*keys, "__salt").distinct().join(table, keys)
+    return salted.join(entries, [*keys, "__salt"]).drop("__salt")
+
+
 def id_remainder(of: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``of``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of

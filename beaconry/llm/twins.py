@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import bloom, quality
+from beaconry.llm import bloom, codebooks, quality
 from beaconry.llm.common import SPACE, WORD
 
 
@@ -67,5 +67,35 @@ FROM parts LEFT JOIN fits USING (r)
 """
 
 
+def codes_sql() -> str:
+    """Complete scans in every round, where the operator compares active entries only."""
+    parts, entries = codebooks.PARTS, codebooks.ENTRIES
+    assigned = """
+a{n} AS (
+  SELECT r, p, arg_min(e.i, struct_pack(d := {d}, i := e.i)) AS i, min({d}) AS d
+  FROM parts JOIN e{n} AS e USING (p) GROUP BY r, p)"""
+    moved = """
+m{n} AS (
+  SELECT p, i, list(s ORDER BY j) AS v FROM (
+    SELECT a.p, a.i, j, floor(sum(parts.v[j])::DOUBLE / count(*))::BIGINT AS s
+    FROM a{n} AS a JOIN parts USING (r, p), range(1, (SELECT w FROM width) + 1) AS g(j) GROUP BY a.p, a.i, j) GROUP BY p, i),
+e{after} AS (SELECT e.p, e.i, coalesce(m.v, e.v) AS v FROM e{n} AS e LEFT JOIN m{n} AS m USING (p, i))"""
+    distance = "list_sum(list_transform(list_zip(parts.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = ",".join(assigned.format(n=n, d=distance) + ("," + moved.format(n=n, after=n + 1) if n < codebooks.ROUNDS else "") for n in range(codebooks.ROUNDS + 1))
+    last = codebooks.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({codebooks.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(v)) // {parts} AS w FROM kept),
+parts AS (SELECT r, p, v[p * w + 1 : (p + 1) * w] AS v FROM kept, width, range({parts}) AS g(p)),
+e0 AS (SELECT p, r - 1 AS i, v FROM parts WHERE r <= {entries}),{steps},
+coded AS (SELECT r, string_agg(lower(format('{{:02x}}', i)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, i)) FROM e{last}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op7_url_cascade": urls_sql(), "op9_quality": quality_sql()}
+    return {"op7_url_cascade": urls_sql(), "op9_quality": quality_sql(), "op12_codes": codes_sql()}
