@@ -93,15 +93,15 @@ def first_codebooks(kept: DataFrame, width: int, parts: int, entries: int) -> Co
     return Codebooks(filled.reshape(len(least), parts, width // parts).transpose(1, 0, 2).copy(), np.ones((parts, len(least)), bool))
 
 
-def _filled(column: pa.Array, width: int) -> np.ndarray:
+def filled(column: pa.Array, width: int, too_large: int = TOO_LARGE) -> np.ndarray:
     """Lists of long as the rows of a matrix, filled up with zeros."""
     offsets = column.offsets.to_numpy().astype(np.int64)
     values, sizes = column.values.to_numpy(zero_copy_only=False), np.diff(offsets)
     out = np.zeros((len(column), width), np.int64)
     row = np.repeat(np.arange(len(column)), sizes)
     out[row, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = values[offsets[0] : offsets[-1]]
-    if len(values) and max(out.max(initial=0), -out.min(initial=0)) >= TOO_LARGE:
-        raise ValueError(f"a scaled component of {TOO_LARGE} or more: its errors do not fit in a long")
+    if len(values) and max(out.max(initial=0), -out.min(initial=0)) >= too_large:
+        raise ValueError(f"a scaled component of {too_large} or more: sums of its products do not fit in a long")
     return out
 
 
@@ -123,7 +123,7 @@ def _coded(rows: DataFrame, books: Codebooks, width: int, fresh: bool) -> DataFr
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 block = batch.slice(start, BLOCK)
-                v = _filled(block.column("v"), width) if fresh else _matrix(block.column("v"), "<i4").astype(np.int64)
+                v = filled(block.column("v"), width) if fresh else _matrix(block.column("v"), "<i4").astype(np.int64)
                 codes, errors = np.zeros((len(v), parts), np.int64), np.zeros((len(v), parts), np.int64)
                 if not fresh:
                     codes, errors = _matrix(block.column("codes"), "u1").astype(np.int64), _matrix(block.column("errors"), "<i8").copy()
@@ -163,7 +163,8 @@ def moved_to_means(state: DataFrame, books: Codebooks) -> Codebooks:
     return Codebooks(fresh, (fresh != books.entries).any(axis=2))
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read again."""
     path = scratch_path(rows.sparkSession, name)
     rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -172,14 +173,14 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
 def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, Codebooks]:
     """(vec_id, label, codes, error) of every kept row, and the final codebooks."""
     chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
-    kept = _stored(whole_vectors(chosen, scale).select("vec_id", "label", "v"), "vectors")
+    kept = stored(whole_vectors(chosen, scale).select("vec_id", "label", "v"), "vectors")
     longest = kept.agg(F.max(F.size("v")).alias("n")).first()["n"]
     width = -(-max(longest or 0, 1) // parts) * parts
     books = first_codebooks(kept, width, parts, entries)
-    state = _stored(_coded(kept, books, width, True), "codes") if longest is not None else _coded(kept, books, width, True)
+    state = stored(_coded(kept, books, width, True), "codes") if longest is not None else _coded(kept, books, width, True)
     for _ in range(rounds if longest is not None else 0):
         books = moved_to_means(state, books)
-        state = _stored(_coded(state, books, width, False), "codes")
+        state = stored(_coded(state, books, width, False), "codes")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +192,6 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
 
 def with_label_errors(coded: DataFrame) -> DataFrame:
     """``coded`` with the error of all rows of its label; a label of very many rows meets its sum in several tasks."""
-    rows = _stored(coded.withColumns({"unlabelled": F.col("label").isNull(), "named": F.coalesce("label", F.lit(""))}), "errors")
+    rows = stored(coded.withColumns({"unlabelled": F.col("label").isNull(), "named": F.coalesce("label", F.lit(""))}), "errors")
     sums = rows.groupBy("unlabelled", "named").agg(F.sum("error").alias("label_error"))
     return looked_up(rows, sums, ["unlabelled", "named"], F.xxhash64("vec_id", "codes"))

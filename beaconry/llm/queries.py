@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import alignment, bloom, bpe, codebooks, media, ngrams, packing, quality, shards, simhash, substrings, toxicity, twins
+from beaconry.llm import alignment, bloom, bpe, codebooks, media, ngrams, packing, quality, shards, simhash, substrings, toxicity, twins, vafile
 from beaconry.session import use_utc
 
 
@@ -69,6 +69,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth vector."""
+    return vafile.best_of_each(table(spark, sf_dir, "embeddings"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compressed code of every vector and how far it is from what the code stands for."""
     coded, books = codebooks.compressed(table(spark, sf_dir, "embeddings"))
@@ -82,5 +87,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), a_path, public_tokenizers.PATTERN, b_path)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_media, op4_shards, op5_ngram_scores, op6_packing, op7_url_cascade, op8_bpe, op9_quality, op10_simhash, op12_codes, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_media, op4_shards, op5_ngram_scores, op6_packing, op7_url_cascade, op8_bpe, op9_quality, op10_simhash, op11_nearest, op12_codes, op13_alignment)}
 ORACLES = twins.oracles()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import bloom, codebooks, quality
+from beaconry.llm import bloom, codebooks, quality, vafile
 from beaconry.llm.common import SPACE, WORD
 
 
@@ -97,5 +97,19 @@ FROM coded JOIN kept USING (r)
 """
 
 
+def nearest_sql() -> str:
+    """Every inner product, where the operator reads few exact vectors."""
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({vafile.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, q.r, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM kept AS q JOIN kept AS c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM ranked
+WINDOW best AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) QUALIFY rank <= {vafile.BEST}
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op7_url_cascade": urls_sql(), "op9_quality": quality_sql(), "op12_codes": codes_sql()}
+    return {"op7_url_cascade": urls_sql(), "op9_quality": quality_sql(), "op11_nearest": nearest_sql(), "op12_codes": codes_sql()}
