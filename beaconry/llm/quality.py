@@ -39,50 +39,62 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
 )
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
-def _repeated_words(words: Column) -> Column:
-    """How many words lie in a window that the text holds twice.
-
-    Windows are compared by a hash of eight words; texts without a double, nearly all, stop at a size comparison. The
-    others sort (hash, place), keep the places of equal neighbours and add up the part each window adds to the cover.
+def _windows(words: DataFrame) -> DataFrame:
+    """``words`` with a hash of every window of WINDOW words as ``k``: words are hashed once, then neighbours joined by doubling."""
+    hashed = words.withColumn("k", F.transform("w", lambda w: F.xxhash64(w)))
+    width = 1
+    while width < WINDOW:
+        behind = F.slice("k", width + 1, F.greatest(F.size("k"), F.lit(1)))
+        hashed = hashed.withColumn("k", F.zip_with("k", behind, lambda a, b: F.xxhash64(a, b)))
+        width *= 2
+    return hashed.withColumn("k", F.slice("k", F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(0))))
+
+
+def _repeated_words(k: Column) -> Column:
+    """How many words lie in a window that the text holds twice, from the hashes of all windows.
+
+    Texts without a double, nearly all, stop at a size comparison. The others sort (hash, place), keep the places of equal
+    neighbours and add up the part each window adds to the cover.
     """
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    places = F.array_sort(F.transform(k, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    n = F.size(k)
+    pairs = F.filter(F.arrays_zip(F.slice(places, 1, n - 1).alias("a"), F.slice(places, 2, n - 1).alias("b")), lambda p: p["a"]["h"] == p["b"]["h"])
+    twice = F.array_sort(F.array_distinct(F.concat(F.transform(pairs, lambda p: p["a"]["i"]), F.transform(pairs, lambda p: p["b"]["i"]))))
 
-    def covered(h: Column) -> Column:
-        places = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        n = F.size(places)
-        left = F.slice(places, 1, n - 1)
-        pairs = F.filter(F.arrays_zip(left.alias("a"), F.slice(places, 2, n - 1).alias("b")), lambda p: p["a"]["h"] == p["b"]["h"])
-        twice = F.array_sort(F.array_distinct(F.concat(F.transform(pairs, lambda p: p["a"]["i"]), F.transform(pairs, lambda p: p["b"]["i"]))))
-        gaps = F.zip_with(F.slice(twice, 2, F.size(twice) - 1), F.slice(twice, 1, F.size(twice) - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
-        return F.aggregate(gaps, F.lit(WINDOW), lambda total, gap: total + gap)
+    def covered(one: Column) -> Column:
+        # a one-element array stands for a variable: the places are computed once and read several times
+        def gaps(p: Column) -> Column:
+            return F.zip_with(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
 
-    def of_hashes(one: Column) -> Column:
-        # a one-element array stands for a variable: the hashes are computed once and read three times
-        return F.transform(one, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))[0]
+        return F.transform(one, lambda p: F.aggregate(gaps(p), F.lit(WINDOW), lambda total, gap: total + gap))[0]
 
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0)).otherwise(of_hashes(F.array(hashes)))
+    return F.when(F.size(F.array_distinct(k)) == n, F.lit(0)).otherwise(covered(F.array(twice)))
 
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The ``carry`` columns of each document as the struct ``row``, its counts, and the ratios the rules speak of."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    words = whole.select("row", "t", F.filter(F.split("t", f"{SPACE}+"), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD)).alias("l"))
-    counts = words.select(
+    trimmed = F.btrim("t", F.lit(" \t\n\x0b\x0c\r"))
+    listed = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
+    words = whole.select("row", "t", listed.alias("w"), F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD)).alias("l"))
+    longest = max(map(len, STOP_WORDS))
+
+    def of_words(mark: str, wanted) -> Column:
+        """How many words ``wanted`` holds of; texts without ``mark`` are not looked through."""
+        return F.when(F.contains("t", F.lit(mark)), F.size(F.filter("w", wanted))).otherwise(F.lit(0)).cast("long")
+
+    counts = _windows(words).select(
         "row",
         F.size("w").cast("long").alias("n_words"),
-        F.length(_without(F.col("t"), " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), "#*$%&|<>"))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
+        _repeated_words(F.col("k")).cast("long").alias("n_repeat_words"),
         F.size("l").cast("long").alias("n_lines"),
-        F.size(F.filter("w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("w", lambda w: w == "|")).cast("long").alias("n_bars"),
-        F.size(F.filter("w", lambda w: w.endswith("!!"))).cast("long").alias("n_exclaimed"),
+        # the list is plain ASCII, and lower-casing makes no longer word of these letters
+        F.size(F.filter("w", lambda w: (F.octet_length(w) <= longest) & F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        of_words("|", lambda w: w == "|").alias("n_bars"),
+        of_words("!!", lambda w: w.endswith("!!")).alias("n_exclaimed"),
     )
     per_word = F.greatest(F.col("n_words"), F.lit(1))
     return counts.withColumns(
