@@ -34,14 +34,15 @@ def _masks(distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(block, AGREEING_BLOCKS)]
 
 
-def _keyed(values: DataFrame, masks: list[int]) -> DataFrame:
+def keyed(values: DataFrame, distance: int = NEAR_BITS, *carried: str) -> DataFrame:
+    """(hash, choice, key) of every ``hash``: one key for each choice of blocks, numbers of different choices apart."""
     keys = F.array(
         *[
-            F.struct(F.lit(i).alias("choice"), F.col("hash").bitwiseAND(F.lit(_signed(m))).alias("key"))
-            for i, m in enumerate(masks)
+            F.struct(F.lit(i).alias("choice"), F.xxhash64(F.lit(i), F.col("hash").bitwiseAND(F.lit(_signed(m)))).alias("key"))
+            for i, m in enumerate(_masks(distance))
         ]
     )
-    return values.select("hash", F.explode(keys).alias("k")).select("hash", "k.choice", "k.key")
+    return values.select("hash", *carried, F.explode(keys).alias("k")).select("hash", *carried, "k.choice", "k.key")
 
 
 def _flips(spark, masks: list[int], radius: int) -> DataFrame:
@@ -57,39 +58,77 @@ def _flips(spark, masks: list[int], radius: int) -> DataFrame:
 def near_pairs(left: DataFrame, right: DataFrame | None = None, distance: int = NEAR_BITS, crowded: int = CROWDED) -> DataFrame:
     """Distinct (a, b) of distinct ``hash`` values within ``distance``: a < b inside one table,
     a from ``left`` and b from ``right`` for two. Equal values are a pair only across two tables."""
-    spark, own = left.sparkSession, right is None
-    masks = _masks(distance)
-    a = _keyed(left.select("hash").distinct(), masks)
-    b = a if own else _keyed(right.select("hash").distinct(), masks)
-    load = a if own else a.unionByName(b)
-    full = load.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).drop("n")
+    a = keyed(left.select("hash").distinct(), distance)
+    return near_keyed(a, None if right is None else keyed(right.select("hash").distinct(), distance), distance, crowded)
+
+
+def near_keyed(a: DataFrame, b: DataFrame | None, distance: int = NEAR_BITS, crowded: int = CROWDED) -> DataFrame:
+    """As ``near_pairs``, of tables that are keyed already (hash, choice, key)."""
+    spark, own, masks = a.sparkSession, b is None, _masks(distance)
+    b = a if own else b
+    load = a.select("key") if own else a.select("key").unionByName(b.select("key"))
+    full = load.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).drop("n")
     full = cut_lineage(full)
     x, y = F.col("x.hash"), F.col("y.hash")
     # A pair agrees on several choices; it is emitted by the first of them only.
     apart = x.bitwiseXOR(y)
     agreeing = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    valid = (F.bit_count(apart) <= distance) & (agreeing == F.col("choice"))
+    valid = (F.bit_count(apart) <= distance) & (agreeing == F.col("x.choice")) & (agreeing == F.col("y.choice"))
 
     def thin(left_keys: DataFrame, right_keys: DataFrame) -> DataFrame:
-        met = left_keys.alias("x").join(right_keys.alias("y"), ["choice", "key"])
+        met = left_keys.alias("x").join(right_keys.alias("y"), "key")
         return met.where(valid & (x < y if own else F.lit(True))).select(x.alias("a"), y.alias("b"))
 
     if full.isEmpty():
         return thin(a, b)
 
-    def around(keyed: DataFrame, radius: int) -> DataFrame:
+    def around(of: DataFrame, radius: int) -> DataFrame:
         flips = F.broadcast(_flips(spark, masks, radius))
-        return keyed.join(flips, "choice").select("choice", "key", "hash", F.col("hash").bitwiseXOR(F.col("flip")).alias("meet"))
+        return of.join(flips, "choice").select("choice", "key", "hash", F.col("hash").bitwiseXOR(F.col("flip")).alias("meet"))
 
-    def keys(keyed: DataFrame, how: str) -> DataFrame:
-        return keyed.join(full, ["choice", "key"], how)
+    def keys(of: DataFrame, how: str) -> DataFrame:
+        return of.join(full, "key", how)
 
     near, far = around(keys(a, "left_semi"), distance // 2), around(keys(b, "left_semi"), distance - distance // 2)
-    met = near.alias("x").join(far.alias("y"), ["choice", "key", "meet"]).where(valid & (x != y if own else F.lit(True)))
+    met = near.alias("x").join(far.alias("y"), ["key", "meet"]).where(valid & (x != y if own else F.lit(True)))
     shared = met.select((F.least(x, y) if own else x).alias("a"), (F.greatest(x, y) if own else y).alias("b")).distinct()
     return thin(keys(a, "left_anti"), keys(b, "left_anti")).unionByName(shared)
 
 
+#: Columns of a stored ledger beside its key: a signature under one choice of blocks, or an id where the choice is -1.
+LEDGER = "choice INT, hash BIGINT, queue_id STRING"
+
+
+def _id_key(queue_id: Column) -> Column:
+    return F.xxhash64(F.lit(-1), queue_id)
+
+
+def ledger_rows(items: DataFrame, distance: int = NEAR_BITS) -> DataFrame:
+    """What a stored ledger keeps of (queue_id, simhash, seen): the id, and the signature under every choice.
+
+    The zero signature is kept by its id only, as it is near nothing.
+    """
+    none = F.lit(None)
+    ids = items.select(_id_key(F.col("queue_id")).alias("key"), F.lit(-1).alias("choice"), none.cast("long").alias("hash"), "queue_id", "seen")
+    signed = items.where("simhash <> 0").groupBy(F.col("simhash").alias("hash")).agg(F.max("seen").alias("seen"))
+    return ids.unionByName(keyed(signed, distance, "seen").select("key", "choice", "hash", none.cast("string").alias("queue_id"), "seen"))
+
+
+def unlisted(items: DataFrame, ledger, distance: int = NEAR_BITS, but: int | None = None, crowded: int = CROWDED) -> DataFrame:
+    """Items (queue_id, simhash) whose id is not in the stored ledger and whose signature is near none of it.
+
+    Only the items are keyed and shuffled: the ledger, a ``KeyedStore`` of ``LEDGER`` rows, is read in the buckets they touch.
+    """
+    known = ledger.matching(items.select(_id_key(F.col("queue_id")).alias("key")), but).where("choice = -1").select("queue_id").distinct()
+    fresh = cut_lineage(items.join(known, "queue_id", "left_anti"))
+    if distance < 0:
+        return fresh
+    mine = keyed(fresh.where("simhash <> 0").select(F.col("simhash").alias("hash")).distinct(), distance)
+    theirs = ledger.matching(mine, but).where("choice >= 0").select("hash", "choice", "key")
+    matched = near_keyed(mine, theirs, distance, crowded).select(F.col("a").alias("simhash")).distinct()
+    return fresh.join(matched, "simhash", "left_anti").select(*items.columns)
+
+
 def ledger_exact(items: DataFrame, ledger: DataFrame, key: str = "queue_id") -> DataFrame:
     """Items whose id is not in the ledger. The distinct ids are the only thing compared."""
     return items.join(ledger.select(key).distinct(), key, "left_anti")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from beaconry import dims
 from beaconry.operators import text
-from beaconry.plans.common import SIGNALS, read, signals, squash_sql, stamp, stamp_sql
+from beaconry.plans.common import RUN_TS, SIGNALS, read, signals, squash_sql, stamp, stamp_sql
 from beaconry.plans.io_plans import published
-from beaconry.plans.text_plans import signed_docs
+from beaconry.plans.text_plans import NEAR_DEDUP_SQL, signed_docs
 from beaconry.session import scratch_path
 from beaconry.sinks import tables
 from beaconry.sources import files
@@ -28,6 +28,17 @@ def _land(spark, df, name: str, parts: int = 3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _land_in_order(spark, df, name: str, by: list[str], slices: int):
+    """Write ``df`` as one file per slice of ``by``, one after the other, and open them as a file stream that takes them in this order."""
+    parted, path = scratch_path(spark, f"{name}-slices"), scratch_path(spark, name)
+    df.repartitionByRange(slices, *by).withColumn("slice", F.spark_partition_id()).write.partitionBy("slice").parquet(parted)
+    for number in range(slices):
+        rows = tables.table_or_empty(spark, f"{parted}/slice={number}", df.schema)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    tables.remove_folder(spark, parted)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _ingested(spark, sf, max_rows: int, max_writes: int):
     path, store = scratch_path(spark, "published"), scratch_path(spark, "store")
     documents, _ = published(spark, sf, path)
@@ -68,10 +79,12 @@ STREAM_DEDUP_SQL = f"SELECT DISTINCT substr(sha256('https://one.example.org/' ||
 
 
 def stream_near_dedup(spark, sf):
-    signed = signed_docs(spark, sf).select(F.col("doc_id").alias("ord"), "queue_id", "simhash")
+    """Documents in order of arrival, in four batches against a ledger that grows; the batch twin decides one after the other."""
+    signed = signed_docs(spark, sf).select(F.col("doc_id").alias("ord"), "queue_id", "simhash", F.to_date(F.lit(RUN_TS)).alias("seen"))
     ledger, kept = scratch_path(spark, "ledger"), scratch_path(spark, "kept")
-    jobs.near_dedup_stream(spark, _land(spark, signed, "near-in", 2), ledger, kept, scratch_path(spark, "near-state")).awaitTermination()
-    return spark.read.parquet(kept).select("ord", "queue_id")
+    arrivals = _land_in_order(spark, signed, "near-in", ["ord"], 4)
+    jobs.near_dedup_stream(spark, arrivals, ledger, kept, scratch_path(spark, "near-state")).awaitTermination()
+    return spark.read.parquet(kept).select(F.col("ord").alias("doc_id"))
 
 
 def stream_late(spark, sf):
@@ -98,22 +111,47 @@ RETENTION_SQL = "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 1
 
 
 def posts(spark, sf):
+    """Events as posts; a third of all belong to one channel."""
+    busy = F.when(F.col("event_id") % 3 == 0, F.lit("ch0"))
     return read(spark, sf, "events").select(
-        F.concat(F.lit("ch"), (F.col("user_id") % 30).cast("string")).alias("channel"), F.col("event_id").alias("post_id"),
+        F.coalesce(busy, F.concat(F.lit("ch"), (F.col("user_id") % 30).cast("string"))).alias("channel"), F.col("event_id").alias("post_id"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), (F.col("event_id") % 40 == 0).alias("paused"),
     )
 
 
+POSTS_OF_A_SLICE, LEAST_SLICES = 200_000, 12
+
+
 def stream_rate_limit(spark, sf):
+    """The posts in slices of time of bounded size, twelve at least, through the gate of their channel."""
     out = scratch_path(spark, "gate")
+    waiting = posts(spark, sf)
+    slices = max(LEAST_SLICES, -(-waiting.count() // POSTS_OF_A_SLICE))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    decided = jobs.rate_limit_stream(_land(spark, posts(spark, sf), "gate-in", 1), *dims.CHANNEL_LIMITS)
+    decided = jobs.rate_limit_stream(_land_in_order(spark, waiting, "gate-in", ["second", "post_id"], slices), *dims.CHANNEL_LIMITS)
     decided.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_path(spark, "gate-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema("channel string, post_id bigint, state string").parquet(out)
 
 
+_HOUR_LIMIT, _DAY_LIMIT = dims.CHANNEL_LIMITS
+STREAM_RATE_LIMIT_SQL = f"""WITH RECURSIVE posts AS (
+  SELECT CASE WHEN event_id % 3 = 0 THEN 'ch0' ELSE 'ch' || (user_id % 30) END AS channel, event_id AS post_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, event_id % 40 = 0 AS paused FROM events),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY second, post_id) AS i FROM posts),
+walk AS (
+  SELECT DISTINCT channel, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS post_id, CAST([] AS BIGINT[]) AS times, CAST(NULL AS VARCHAR) AS state FROM p
+  UNION ALL
+  SELECT channel, i, post_id, CASE WHEN state = 'ready' THEN list_append(times, second) ELSE times END, state FROM (
+    SELECT p.channel, p.i, p.post_id, p.second, list_filter(w.times, lambda t: p.second - t < 3600 OR t // 86400 = p.second // 86400) AS times,
+      CASE WHEN p.paused THEN 'blocked' WHEN len(list_filter(w.times, lambda t: p.second - t < 3600)) >= {_HOUR_LIMIT}
+        OR len(list_filter(w.times, lambda t: t // 86400 = p.second // 86400)) >= {_DAY_LIMIT} THEN 'held' ELSE 'ready' END AS state
+    FROM walk AS w JOIN p ON p.channel = w.channel AND p.i = w.i + 1))
+SELECT channel, post_id, state FROM walk WHERE i > 0"""
+
+
 QUERIES = {
     "stream_ingest": stream_ingest, "stream_budget": stream_budget, "stream_dedup": stream_dedup, "stream_near_dedup": stream_near_dedup,
     "stream_late": stream_late, "retention": retention, "stream_rate_limit": stream_rate_limit,
 }
-ORACLES = {"stream_dedup": STREAM_DEDUP_SQL, "stream_late": STREAM_LATE_SQL, "retention": RETENTION_SQL}
+ORACLES = {
+    "stream_dedup": STREAM_DEDUP_SQL, "stream_near_dedup": NEAR_DEDUP_SQL, "stream_late": STREAM_LATE_SQL, "retention": RETENTION_SQL, "stream_rate_limit": STREAM_RATE_LIMIT_SQL,
+}

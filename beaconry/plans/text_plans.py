@@ -22,7 +22,8 @@ from beaconry.plans.common import (
     stamp_sql,
     words_sql,
 )
-from beaconry.session import cut_lineage
+from beaconry.session import cut_lineage, scratch_path
+from beaconry.sinks.keyed_store import KeyedStore
 
 EXCERPT_CHARS = 500
 
@@ -298,15 +299,22 @@ SELECT doc_id, queue_id FROM k WHERE queue_id NOT IN (SELECT queue_id FROM k WHE
 
 
 def ledger_near(spark, sf):
-    """Documents and benchmark passages already queued are known; the ledger holds every fifth document."""
-    signed = cut_lineage(signed_docs(spark, sf).select("doc_id", "queue_id", "published", "simhash"))
-    fresh = signed.where("doc_id % 5 <> 0").select("doc_id", "simhash")
-    return dedup.ledger_near(fresh, _ledger(signed)).select("doc_id")
-
-
-LEDGER_NEAR_SQL = f"""WITH {SIGNALS}, {SIGNATURES}
-SELECT a.doc_id FROM sig a WHERE a.doc_id % 5 <> 0 AND NOT EXISTS (
-  SELECT 1 FROM sig b WHERE b.doc_id % 5 = 0 AND a.simhash <> 0 AND b.simhash <> 0 AND bit_count(CAST(xor(a.simhash, b.simhash) AS UBIGINT)::BITSTRING) <= 3)"""
+    """Documents that are near nothing in a stored ledger: it holds every fifth document and, from a second run, the benchmark passages."""
+    signed = cut_lineage(signed_docs(spark, sf).select("doc_id", "queue_id", "simhash"))
+    ledger = KeyedStore(spark, scratch_path(spark, "ledger"), dedup.LEDGER)
+    day = F.to_date(F.lit(RUN_TS))
+    ledger.add(dedup.ledger_rows(signed.where("doc_id % 5 = 0").withColumn("seen", F.date_sub(day, 1))), 0)
+    passages = text.signatures(read(spark, sf, "benchmark"), "item_id", F.col("text"))
+    passages = passages.select(F.concat(F.lit("passage-"), F.col("item_id").cast("string")).alias("queue_id"), "simhash", day.alias("seen"))
+    ledger.add(dedup.ledger_rows(passages), 1)
+    return dedup.unlisted(signed.where("doc_id % 5 <> 0"), ledger).select("doc_id")
+
+
+_BENCHMARK_TOO = SIGNALS.replace("signals AS", "own AS", 1) + """,
+signals AS (SELECT doc_id, title, text FROM own UNION ALL SELECT -1 - row_number() OVER (), '', text FROM benchmark)"""
+LEDGER_NEAR_SQL = f"""WITH {_BENCHMARK_TOO}, {SIGNATURES}
+SELECT a.doc_id FROM sig a WHERE a.doc_id >= 0 AND a.doc_id % 5 <> 0 AND NOT EXISTS (
+  SELECT 1 FROM sig b WHERE (b.doc_id < 0 OR b.doc_id % 5 = 0) AND a.simhash <> 0 AND b.simhash <> 0 AND bit_count(CAST(xor(a.simhash, b.simhash) AS UBIGINT)::BITSTRING) <= 3)"""
 
 
 def near_dedup(spark, sf):

@@ -27,6 +27,12 @@ def table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store; one that is gone already is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def insert_absent(spark: SparkSession, path: str, batch: DataFrame, key: list[str], order: list[str]) -> None:
     """Append the new keys of the batch; replaying the batch writes nothing."""
     rows = absent_rows(table_or_empty(spark, path, batch.schema), batch, key, order)

@@ -6,6 +6,7 @@ checkpoint folder the caller names, so a restarted job continues where it stoppe
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +18,11 @@ from beaconry.operators import dedup, rules
 from beaconry.operators import review_queue as rq
 from beaconry.session import cut_lineage
 from beaconry.sinks import tables
+from beaconry.sinks.keyed_store import KeyedStore
 from beaconry.sources import files
 
 LEDGER_DAYS = 90
+HOUR, DAY = 3600, 86400
 
 
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -79,17 +82,15 @@ def exact_dedup(stream: DataFrame, key: str, at: str, days: int = LEDGER_DAYS) -
 
 
 def near_dedup_stream(spark: SparkSession, items: DataFrame, ledger: str, kept: str, checkpoint: str, distance: int = dedup.NEAR_BITS) -> StreamingQuery:
-    """Per micro-batch: exact and near exclusion against the ledger, first-wins inside the batch, then
-    both outputs grow. A replayed batch finds its own ids in the ledger and adds nothing."""
-    columns = "ord bigint, queue_id string, simhash bigint"
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch = cut_lineage(batch)
-        known = tables.table_or_empty(spark, ledger, columns)
-        fresh = dedup.ledger_near(dedup.ledger_exact(batch, known), known, distance)
-        picked = cut_lineage(dedup.near_dedup(fresh, distance).select("ord", "queue_id", "simhash"))
-        tables.insert_absent(spark, kept, picked, ["queue_id"], ["ord"])
-        picked.write.mode("append").parquet(ledger)
+    """Per micro-batch of (ord, queue_id, simhash, seen): exact and near exclusion against the stored ledger, first-wins inside
+    the batch, then both outputs grow. A replayed batch does not see what it added itself, so it decides as before."""
+    store = KeyedStore(spark, ledger, dedup.LEDGER)
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = dedup.unlisted(cut_lineage(batch), store, distance, but=number)
+        picked = cut_lineage(dedup.near_dedup(fresh, distance).select("ord", "queue_id", "simhash", "seen"))
+        tables.insert_absent(spark, kept, picked.select("ord", "queue_id", "simhash"), ["queue_id"], ["ord"])
+        store.add(dedup.ledger_rows(picked, distance), number)
 
     return start(items, each, checkpoint)
 
@@ -111,7 +112,9 @@ class ChannelGate(StatefulProcessor):
     """Sequential decision per channel: a post is released unless the released posts of the last hour or
     of its UTC day have reached the limit, or the channel is paused. Held posts do not count.
 
-    State is bounded: at most ``per_day`` release times are ever needed.
+    Batches are slices of time, so a channel's rows of a batch are sorted and the state carries on from batch to batch: the
+    release times that can still count, at most ``per_day`` of the day and ``per_hour`` of the hour before midnight. A
+    timer at the moment the last of them stops counting clears the state of a channel that has fallen silent.
     """
 
     def __init__(self, per_hour: int, per_day: int) -> None:
@@ -120,35 +123,52 @@ class ChannelGate(StatefulProcessor):
     def init(self, handle) -> None:
         from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+        self.handle = handle
         self.released = handle.getValueState("released", StructType([StructField("at", ArrayType(LongType()))]))
 
+    @staticmethod
+    def counts_until(second: int) -> int:
+        """The first second at which a release no longer counts, neither in its hour nor in its day."""
+        return max(second + HOUR, (second // DAY + 1) * DAY)
+
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        posts = pd.concat(list(rows)).sort_values(["second", "post_id"])
-        times = list(self.released.get()[0]) if self.released.exists() else []
-        out = []
-        for post_id, second, paused in zip(posts["post_id"], posts["second"], posts["paused"]):
-            times = [t for t in times if second - t < 3600 or t // 86400 == second // 86400]
-            last_hour = sum(1 for t in times if second - t < 3600)
-            today = sum(1 for t in times if t // 86400 == second // 86400)
-            if paused:
-                state = "blocked"
-            elif last_hour >= self.per_hour or today >= self.per_day:
-                state = "held"
-            else:
-                state = "ready"
-                times.append(int(second))
-            out.append((key[0], int(post_id), state))
-        self.released.update((times,))
-        yield pd.DataFrame(out, columns=["channel", "post_id", "state"])
+        posts = pd.concat(list(rows), ignore_index=True).sort_values(["second", "post_id"])
+        times = deque(self.released.get()[0] if self.released.exists() else ())
+        before, states = len(times) and times[-1], []
+        for second, paused in zip(posts["second"].tolist(), posts["paused"].tolist(), strict=True):
+            while times and self.counts_until(times[0]) <= second:
+                times.popleft()
+            last_hour = sum(1 for t in times if second - t < HOUR)
+            today = sum(1 for t in times if t // DAY == second // DAY)
+            free = last_hour < self.per_hour and today < self.per_day
+            states.append("blocked" if paused else "ready" if free else "held")
+            if states[-1] == "ready":
+                times.append(second)
+        self.released.update((list(times),))
+        if times and times[-1] != before:
+            self.handle.registerTimer(self.counts_until(times[-1]) * 1000)
+        yield pd.DataFrame({"channel": key[0], "post_id": posts["post_id"].tolist(), "state": states})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        times = self.released.get()[0] if self.released.exists() else []
+        if times and self.counts_until(times[-1]) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.released.clear()
+        yield pd.DataFrame({"channel": [], "post_id": [], "state": []}).astype({"channel": str, "post_id": "int64", "state": str})
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(posts: DataFrame, per_hour: int, per_day: int) -> DataFrame:
-    """Posts (channel, post_id, second, paused) to (channel, post_id, state); the channel is the unit of work."""
-    return posts.groupBy("channel").transformWithStateInPandas(
-        statefulProcessor=ChannelGate(per_hour, per_day), outputStructType="channel string, post_id bigint, state string", outputMode="Append", timeMode="None"
+def rate_limit_stream(posts: DataFrame, per_hour: int, per_day: int, late: str = "1 hour") -> DataFrame:
+    """Posts (channel, post_id, second, paused), in slices of time, to (channel, post_id, state); the channel is the unit of work.
+
+    Posts more than ``late`` behind the newest of an earlier slice are dropped, as the decisions after them are made.
+    """
+    timed = posts.withColumn("at", F.timestamp_seconds("second")).withWatermark("at", late)
+    return timed.groupBy("channel").transformWithStateInPandas(
+        statefulProcessor=ChannelGate(per_hour, per_day), outputStructType="channel string, post_id bigint, state string", outputMode="Append", timeMode="EventTime"
     )

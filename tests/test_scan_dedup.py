@@ -1,10 +1,15 @@
 """Ordered and near-duplicate operators against brute force on small random tables."""
 
 import random
+import re
+from datetime import date
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from beaconry.operators import dedup, scan
+from beaconry.session import scratch_path
+from beaconry.sinks.keyed_store import KeyedStore
 
 
 def signed(value):
@@ -41,11 +46,53 @@ def test_near_pairs_equal_brute_force_with_and_without_crowded_buckets(spark):
             assert got == near_set(values, limit)
 
 
-def test_ledger_near_ignores_zero_and_negative_distance(spark):
-    items = spark.createDataFrame([(1, 0), (2, 7), (3, 0x5555 << 32)], "ord bigint, simhash bigint")
-    ledger = spark.createDataFrame([(0,), (6,)], "simhash bigint")
-    assert {r.ord for r in dedup.ledger_near(items, ledger).collect()} == {1, 3}
-    assert dedup.ledger_near(items, ledger, distance=-1).count() == 3
+def stored_ledger(spark, rows):
+    ledger = KeyedStore(spark, scratch_path(spark, "ledger"), dedup.LEDGER, buckets=16)
+    for batch, part in enumerate(rows):
+        table = spark.createDataFrame(part, "queue_id string, simhash bigint, day string").withColumn("seen", F.to_date("day"))
+        ledger.add(dedup.ledger_rows(table), batch)
+    return ledger
+
+
+def test_the_ledger_ignores_zero_and_negative_distance(spark):
+    items = spark.createDataFrame([(1, "a", 0), (2, "b", 7), (3, "c", 0x5555 << 32), (4, "y", 1 << 60)], "ord bigint, queue_id string, simhash bigint")
+    ledger = stored_ledger(spark, [[("x", 0, "2024-01-01"), ("y", 6, "2024-01-02")]])
+    assert {r.ord for r in dedup.unlisted(items, ledger).collect()} == {1, 3}
+    assert {r.ord for r in dedup.unlisted(items, ledger, distance=-1).collect()} == {1, 2, 3}
+
+
+def test_a_grown_ledger_is_read_in_touched_buckets(spark):
+    values = sorted(set(clustered(120, 4)))
+    first, second = values[::2], values[1::2]
+    ledger = stored_ledger(spark, [[(f"f{v}", v, "2024-01-01") for v in first], [(f"s{v}", v, "2024-01-05") for v in second]])
+    items = spark.createDataFrame([(f"n{v}", v ^ 5) for v in values] + [("far", 0x7777 << 20)], "queue_id string, simhash bigint")
+    assert {r.queue_id for r in dedup.unlisted(items, ledger).collect()} == {f"n{v}" for v in values if not any(distance(v ^ 5, w) <= 3 for w in values)} | {"far"}
+    # what a batch added itself is out of its sight
+    own = {r.queue_id for r in dedup.unlisted(items, ledger, but=1).collect()}
+    assert own == {f"n{v}" for v in values if not any(distance(v ^ 5, w) <= 3 for w in first)} | {"far"}
+    # a lookup of few keys opens the files of their buckets only: all others may be broken
+    row = ledger.rows().withColumn("file", F.input_file_name()).where("choice = -1").first()
+    bucket = row.file.rsplit("_", 1)[1]
+    few = ledger.matching(spark.createDataFrame([(row.key,)], "key bigint"))
+    others = [f for f in Path(ledger.path.removeprefix("file:")).rglob("part-*.parquet") if not f.name.endswith(f"_{bucket}")]
+    assert len(others) > 10
+    for file in others:
+        file.write_bytes(b"broken")
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert [r.queue_id for r in few.where("choice = -1").collect()] == [row.queue_id]
+    many = ledger.matching(spark.range(1000).select(F.xxhash64("id").alias("key")))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2, "the new side is made distinct and dealt; the stored side stays where it is"
+
+
+def test_old_days_leave_the_ledger_as_folders(spark):
+    ledger = stored_ledger(spark, [[("a", 1, "2024-01-01"), ("b", 1 << 30, "2024-01-09")], [("c", 1 << 50, "2024-01-02")]])
+    assert ledger.expire(date(2024, 1, 5)) == [date(2024, 1, 1), date(2024, 1, 2)]
+    assert ledger.expire(date(2024, 1, 5)) == []
+    assert {r.queue_id for r in ledger.rows().where("choice = -1").collect()} == {"b"}
+    assert [x.name for x in Path(ledger.path.removeprefix("file:")).glob("seen=*")] == ["seen=2024-01-09"]
+    again = KeyedStore(spark, ledger.path, dedup.LEDGER, buckets=16)
+    assert again.rows().where("choice = -1").count() == 1
 
 
 def test_near_dedup_equals_the_sequential_loop(spark):
