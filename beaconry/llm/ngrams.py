@@ -40,6 +40,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = 0x9E3779B97F4A7C15
+#: Distinct words that fit in half of a pair; more raise.
+MOST_WORDS = 1 << 32
 #: The hash of the end token: no word has it, as words hash to even numbers.
 END = np.uint64(1)
 
@@ -252,6 +254,8 @@ def trained(docs: DataFrame) -> Model:
     written = {r["shard"]: r for r in _merged(words, shards, word_files, "shard int, n long, tokens long").collect()}
     starts = (0, *np.cumsum([written[s]["n"] if s in written else 0 for s in range(shards)]).tolist())
     total = sum(r["tokens"] for r in written.values())
+    if starts[-1] > MOST_WORDS:
+        raise ValueError(f"{starts[-1]} distinct words: pairs of word numbers hold {MOST_WORDS} at most")
 
     def numbered(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         distinct, inverse = np.unique(tokens, return_inverse=True)

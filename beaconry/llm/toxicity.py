@@ -9,9 +9,11 @@ corpus, and score every row on the JVM.
 Labels come only from rows that are not held out; labels, lang, source and doc_id are no input of a score.
 
 Defined cases: a null or empty text has the features zero and gets the score those get; labels that are null or of
-unknown documents teach nothing, of repeated labels each counts; without two classes to learn from the score is the share
-of toxic labels, zero without any; repeated rows and null ids are scored like any other; an empty table gives an empty
-result; the operator keeps no other columns, ``drop_toxic`` keeps all.
+unknown documents teach nothing; a document counts once however often it is labelled, as toxic if half of its labels say
+so, and of texts that share an id the smallest teaches; where either part of the sample lacks a class both learn from all
+of it; without two classes to learn from the score is the share of toxic labels, zero without any; repeated rows and null
+ids are scored like any other; an empty table gives an empty result; the operator keeps no other columns, ``drop_toxic``
+keeps all.
 """
 
 from __future__ import annotations
@@ -119,27 +121,29 @@ def learned_stems(texts: DataFrame) -> frozenset[bytes]:
 
 def scored(docs: DataFrame, labels: DataFrame, most_trained: int = MOST_TRAINED) -> DataFrame:
     """(doc_id, held_out, score, predicted, tag) for every row of ``docs``."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label"))
-    bounded = known.where(id_remainder(3) != 1).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(most_trained)
+    given = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic"))
+    known = given.where(id_remainder(3) != 1).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("double").alias("label"))
+    bounded = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most_trained)
     bounded = F.broadcast(cut_lineage(bounded.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0)))  # most_trained slim rows
-    texts = cut_lineage(id_and_text(docs).join(bounded, "doc_id"))
-    stems = learned_stems(texts.where("NOT calibrates"))
+    texts = cut_lineage(id_and_text(docs).join(bounded, "doc_id").groupBy("doc_id", "label", "calibrates").agg(F.min("text").alias("text")))
+    seen = {(r["calibrates"], r["label"]): r["count"] for r in texts.groupBy("calibrates", "label").count().collect()}
+    total, apart = sum(seen.values()), len(seen) == 4
+    learning, calibrating = ("NOT calibrates", "calibrates") if apart else ("true", "true")
+    stems = learned_stems(texts.where(learning))
     sample = cut_lineage(featured(texts, stems).join(bounded, "doc_id"))
     table = featured(docs, stems)
-    seen = {(r["calibrates"], r["label"]): r["count"] for r in sample.groupBy("calibrates", "label").count().collect()}
-    total = sum(seen.values())
-    if len(seen) < 4:
+    if len({label for _, label in seen}) < 2:
         prior = sum(n for (_, label), n in seen.items() if label == 1) / total if total else 0.0
         return _decided(table.withColumn("score", F.lit(prior)))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=1, minInstancesPerNode=5)
     spread = max(1, min(8, total // 2500))
-    model = trees.fit(assembler.transform(sample.where("NOT calibrates")).select("features", "label").coalesce(spread))
+    model = trees.fit(assembler.transform(sample.where(learning)).select("features", "label").coalesce(spread))
 
     def raw(rows: DataFrame) -> DataFrame:
         return model.transform(assembler.transform(rows)).withColumn("raw", vector_to_array("probability")[1])
 
-    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(sample.where("calibrates")).select("raw", "label").coalesce(1))
+    isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(sample.where(calibrating)).select("raw", "label").coalesce(1))
     return _decided(isotonic.transform(raw(table)))
 
 

@@ -155,6 +155,50 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     assert toxicity.scored(empty, labels).count() == 0
 
 
+def test_toxicity_weighs_a_document_once(spark):
+    """Labels given three times, and documents stored twice, change no score."""
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    table = [(i, " ".join(rng.choices(words, k=30)) + (" you stupid idiot" if i % 4 == 0 else "")) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    once = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    often = {r["doc_id"]: r["score"] for r in toxicity.scored(docs.unionByName(docs), labels.unionByName(labels).unionByName(labels)).collect()}
+    assert often == pytest.approx(once)
+    assert max(once[i] for i in once if i % 4) < 0.7 < min(once[i] for i in once if i % 4 == 0)
+
+
+def test_toxicity_learns_when_one_part_lacks_a_class(spark):
+    """Toxic documents that all lie in one part of the sample are learned from all the same."""
+    parts = spark.range(120).select("id", (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0).alias("calibrates")).collect()
+    bad = {r["id"] for r in parts if not r["calibrates"] and zlib.crc32(str(r["id"]).encode()) % 3 != 1 and r["id"] % 4 == 0}
+    assert len(bad) > 8
+    docs = spark.createDataFrame([(i, "you stupid idiot moron" if i in bad else "quiet words here " * 5) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(120)], "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    assert min(scores[i] for i in bad) > 0.7 > max(scores[i] for i in scores if i not in bad)
+
+
+def test_ngrams_refuse_more_words_than_a_pair_holds(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "MOST_WORDS", 3)
+    docs = spark.createDataFrame([(i, f"one{i} two{i}") for i in range(9)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="distinct words"):
+        ngrams.scored_by_own_model(docs)
+
+
+def test_packing_takes_very_long_runs_of_blanks(spark):
+    """Runs on which a backtracking pattern runs out of stack; ids are those of the tokenizer itself."""
+    texts = [" " * 1_000_000 + "x", "a" + "\n" * 700_000 + "x", "word " * 40_000]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    pieces = packing.packed(docs, BPE_JSON, public_tokenizers.PATTERN).collect()
+    whole = Tokenizer.from_file(BPE_JSON)
+    for i, text in enumerate(texts):
+        ids = np.append(np.array(whole.encode(text, add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4")
+        mine = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in mine) == len(ids) == mine[0]["doc_tokens"]
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in mine)
+
+
 def test_toxicity_features_see_through_obfuscation():
     place = toxicity.FEATURES.index("obfuscated")
     assert toxicity.features(b"you are an 1d10t and st-up.id")[place] > 0
