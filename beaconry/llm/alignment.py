@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,9 +64,9 @@ class Tokenizers:
                 yield nothing, nothing
                 continue
             whole = " " + text
-            a, raw = self.a.ids(whole).tolist(), whole.encode()
-            same = b"".join([self.b_bytes[i] for i in b]) == raw and b"".join([self.a_bytes[i] for i in a]) == raw
-            yield (np.array(a, np.int64), np.array(b, np.int64)) if same else (nothing, nothing)
+            a, raw = self.a.ids(whole), whole.encode()
+            same = b"".join(map(self.b_bytes.__getitem__, b)) == raw and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw
+            yield (a.astype(np.int64), np.array(array("i", b), np.int64)) if same else (nothing, nothing)
 
 
 @lru_cache(1)
@@ -132,8 +133,8 @@ _PIECE_KINDS = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "
 class Merged:
     """Some pieces side by side, each on a byte line of its own: their overlaps, cuts and groups.
 
-    ``first``/``second`` are the ids of every overlap, ``links_to`` how many there are up to the end of each piece; ``cuts``
-    are the common ends and ``cuts_to`` their number up to the end of each piece.
+    ``first``/``second`` are the ids of every overlap, ``links_to`` and ``cuts_to`` count overlaps and common ends up to the end
+    of each piece; ``side``, ``piece`` and ``cut`` run along the merged ends.
     """
 
     def __init__(self, batch: pa.RecordBatch, a_sizes: np.ndarray, b_sizes: np.ndarray):
@@ -151,31 +152,38 @@ class Merged:
         self.a_piece, self.b_piece = np.repeat(np.arange(n), a_counts), np.repeat(np.arange(n), b_counts)
         self.a_ends = a_long + (base + a_start - a_before[:-1])[self.a_piece]
         self.b_ends = b_long + (base + b_start - b_before[:-1])[self.b_piece]
-        # the first end of a tied piece was merged with its equal by the piece before
-        early = (self.b_to - b_counts)[tied & (b_counts > 0)]
-        fresh = np.ones(len(self.b_ends), bool)
-        fresh[early] = False
-        ends = np.union1d(self.a_ends, self.b_ends[fresh])
-        limits = base + span - 1
-        self.links_to = np.searchsorted(ends, limits, "right")
-        piece = np.repeat(np.arange(n), np.diff(self.links_to, prepend=0))
-        self.first = _open(self.a, np.searchsorted(self.a_ends, ends), self.a_to, piece, batch.column("a_next").to_numpy())
-        self.second = _open(self.b, np.searchsorted(self.b_ends, ends), self.b_to, piece, batch.column("b_next").to_numpy())
-        shared = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
-        self.cuts = np.sort(np.concatenate([shared, self.b_ends[early]]))
-        self.cuts_to = np.searchsorted(self.cuts, limits, "right")
+        # one line of ends: equal ends are neighbours, side a first; two ascending runs merge in linear time
+        line = np.concatenate([self.a_ends * 2, self.b_ends * 2 + 1])
+        line.sort(kind="stable")
+        self.side, ends = line & 1, line >> 1
+        of_a = 1 - self.side
+        # the first end of a tied piece was merged with its equal by the piece before: a cut, and no overlap of its own
+        early = np.searchsorted(line, self.b_ends[(self.b_to - b_counts)[tied & (b_counts > 0)]] * 2 + 1)
+        twice = np.zeros(len(line), bool)
+        twice[1:] = ends[1:] == ends[:-1]
+        twice[early] = True
+        fresh = ~twice
+        to = self.a_to + self.b_to
+        self.piece = np.repeat(np.arange(n), np.diff(to, prepend=0))
+        piece = self.piece[fresh]
+        self.first = _open(self.a, (np.cumsum(of_a) - of_a)[fresh], self.a_to, piece, batch.column("a_next").to_numpy())
+        self.second = _open(self.b, (np.cumsum(self.side) - self.side)[fresh], self.b_to, piece, batch.column("b_next").to_numpy())
+        self.links_to, self.cut = _up_to(np.cumsum(fresh), to)[1:], twice
+        self.cuts_to = _up_to(np.cumsum(twice), to)[1:]
 
     def in_groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(group, side, id, number up to each piece's end) of all tokens: by group, side a first; groups count from 0 in a piece."""
         before = np.concatenate([[0], self.cuts_to[:-1]])
-        a_group = np.searchsorted(self.cuts, self.a_ends) + self.a_piece
-        b_group = np.searchsorted(self.cuts, self.b_ends) + self.b_piece
-        a_at = np.arange(len(self.a)) + np.searchsorted(b_group, a_group, "left")
-        b_at = np.arange(len(self.b)) + np.searchsorted(a_group, b_group, "right")
-        total = len(self.a) + len(self.b)
-        group, side, ids = np.empty(total, np.int64), np.zeros(total, np.int64), np.empty(total, np.int64)
-        group[a_at], group[b_at] = a_group - (before + np.arange(len(before)))[self.a_piece], b_group - (before + np.arange(len(before)))[self.b_piece]
-        side[b_at], ids[a_at], ids[b_at] = 1, self.a, self.b
+        total = np.cumsum(self.cut) - self.cut + self.piece
+        first = np.diff(total, prepend=-1) > 0
+        start = np.flatnonzero(first)
+        number = np.cumsum(first) - 1
+        a_before, b_before = np.cumsum(1 - self.side) - (1 - self.side), np.cumsum(self.side) - self.side
+        of_a = np.add.reduceat(1 - self.side, start) if len(start) else start
+        place = np.where(self.side == 0, a_before - a_before[start][number], of_a[number] + b_before - b_before[start][number]) + start[number]
+        group, side, ids = (np.empty(len(place), np.int64) for _ in range(3))
+        group[place], side[place] = total - (before + np.arange(len(before)))[self.piece], self.side
+        ids[place[self.side == 0]], ids[place[self.side == 1]] = self.a, self.b
         return group, side, ids, self.a_to + self.b_to
 
 
@@ -203,7 +211,7 @@ def _open(ids: np.ndarray, at: np.ndarray, to: np.ndarray, piece: np.ndarray, fo
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about BLOCK ids, and one piece at least."""
     for batch in batches:
-        sizes = np.cumsum([0] + [len(x.as_buffer() or b"") + len(y.as_buffer() or b"") for x, y in zip(batch.column("a"), batch.column("b"), strict=True)])
+        sizes = sum(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) for c in (batch.column("a"), batch.column("b")))
         row = 0
         while row < batch.num_rows:
             end = max(row + 1, int(np.searchsorted(sizes, sizes[row] + 2 * BLOCK, "right")) - 1)
@@ -245,17 +253,34 @@ class Counts:
     def __init__(self, folder: str, width: int, best: np.ndarray):
         self.folder, self.width, self.best = folder, width, best
 
+    @staticmethod
+    def _slots(pairs: np.ndarray, size: int) -> np.ndarray:
+        return (pairs * 0x9E3779B97F4A7 >> 20) & (size - 1)
+
     def of(self, pairs: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(pairs), np.int64)
-        distinct, back = np.unique(pairs, return_inverse=True)
-        found, shard = np.zeros(len(distinct), np.int64), distinct // self.width % SHARDS
-        for s in np.unique(shard).tolist():
-            mine = shard == s
-            found[mine] = _shard(self.folder, s, "n")[np.searchsorted(_shard(self.folder, s, "pair"), distinct[mine])]
-        out[:] = found[back]
+        keys, values = _memo(self.folder)
+        slots = self._slots(pairs, len(keys))
+        out = values[slots]
+        missed = np.flatnonzero(keys[slots] != pairs)
+        if len(missed):
+            distinct, back = np.unique(pairs[missed], return_inverse=True)
+            found, shard = np.zeros(len(distinct), np.int64), distinct // self.width % SHARDS
+            for s in np.unique(shard).tolist():
+                mine = shard == s
+                found[mine] = _shard(self.folder, s, "n")[np.searchsorted(_shard(self.folder, s, "pair"), distinct[mine])]
+            out[missed] = found[back]
+            # of pairs of one slot one is remembered
+            slot, at = np.unique(self._slots(distinct, len(keys)), return_index=True)
+            keys[slot], values[slot] = distinct[at], found[at]
         return out
 
 
+@lru_cache(1)
+def _memo(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a worker met lately and their counts, one for each slot."""
+    return np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, np.int64)
+
+
 @lru_cache(4 * SHARDS)
 def _shard(folder: str, shard: int, name: str) -> np.ndarray:
     return mapped.get(folder, f"{shard}.{name}", "<i8")
