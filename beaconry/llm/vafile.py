@@ -36,7 +36,7 @@ from beaconry.llm.codebooks import filled, stored, whole_vectors
 from beaconry.llm.common import looked_up
 
 #: Results of a query, what components are multiplied by before they are floored, and bits of a cell number.
-BEST, SCALE, BITS = 20, 64, 4
+BEST, SCALE, BITS = 20, 64, 6
 #: Queries and approximations of a block, approximations that one unit of work scans, and survivors held before they are given out.
 QUERIES, CELLS, SCANNED, HELD = 1024, 4096, 1 << 20, 1 << 21
 #: Exact vectors read first, as a multiple of the results.
@@ -195,7 +195,7 @@ def survivors(queries: DataFrame, blocks: DataFrame, least: np.ndarray, greatest
     none = F.lit(None)
     asked = queries.select(F.pmod(F.xxhash64("num"), F.lit(of_queries)).cast("int").alias("block"), shares, "num", "v", none.cast("binary").alias("nums"), none.cast("binary").alias("cells"))
     dealt = blocks.withColumn("share", F.pmod(F.xxhash64("nums"), F.lit(groups)).cast("int"))
-    scanned = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(of_queries - 1))).alias("block"), "share", none.cast("long").alias("num"), none.cast("array<long>").alias("v"), "nums", "cells")
+    scanned = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(of_queries - 1))).alias("block"), "share", none.cast("long").alias("num"), none.cast("array<int>").alias("v"), "nums", "cells")
     units = asked.unionByName(scanned).repartition(min(max(of_queries * groups, 1), 10_000), "block", "share")
     # queries of a unit come before its cells
     ordered = units.sortWithinPartitions("block", "share", F.col("cells").isNotNull())
@@ -205,10 +205,10 @@ def survivors(queries: DataFrame, blocks: DataFrame, least: np.ndarray, greatest
 def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(q, c, score): exact vectors are read for these pairs."""
     exact = vectors.select("num", "v")
-    left = looked_up(pairs, exact.toDF("c", "vc"), ["c"], F.xxhash64("q"))
+    left = looked_up(pairs, exact.toDF("c", "vc"), ["c"], F.xxhash64("q"), 4)
     both = looked_up(left, exact.toDF("q", "vq"), ["q"], F.xxhash64("c"))
     n = F.least(F.size("vq"), F.size("vc"))
-    product = F.zip_with(F.slice("vq", F.lit(1), n), F.slice("vc", F.lit(1), n), lambda x, y: x * y)
+    product = F.zip_with(F.slice("vq", F.lit(1), n), F.slice("vc", F.lit(1), n), lambda x, y: x.cast("long") * y)
     return both.select("q", "c", F.aggregate(product, F.lit(0).cast("long"), lambda total, x: total + x).alias("score"))
 
 
@@ -237,7 +237,7 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, bits: int =
 def best_of_each(vectors: DataFrame, every: int = 20, k: int = BEST, scale: int = SCALE, bits: int = BITS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of every row whose id is divisible by ``every``."""
     chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = whole_vectors(chosen, scale).select("vec_id", "v", F.md5(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("key"))
+    rows = whole_vectors(chosen, scale).select("vec_id", F.col("v").cast("array<int>").alias("v"), F.md5(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("key"))
     rows = stored(rows, "vectors")
     once = distinct_vectors(rows, k)
     asking = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key")
@@ -249,7 +249,7 @@ def best_of_each(vectors: DataFrame, every: int = 20, k: int = BEST, scale: int
     lists = top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
     lists = lists.join(asked.select(F.col("num").alias("q"), "key"), "q").select("key", "q", "found")
     answers = looked_up(asking, lists, ["key"], F.xxhash64("query_id"))
-    own = looked_up(answers, once.select(F.col("num").alias("q"), F.aggregate("v", F.lit(0).cast("long"), lambda t, x: t + x * x).alias("norm")), ["q"], F.xxhash64("query_id"))
+    own = looked_up(answers, once.select(F.col("num").alias("q"), F.aggregate("v", F.lit(0).cast("long"), lambda t, x: t + x.cast("long") * x).alias("norm")), ["q"], F.xxhash64("query_id"))
     # the row itself: its id, and the score of its vector with itself; a twin of both is as good, and just as high
     itself = F.filter("found", lambda s: (s["vec_id"] == F.col("query_id")) & (s["score"] == F.col("norm")))
     without = F.filter("found", lambda s: F.coalesce(s["place"] != F.get(itself, F.lit(0))["place"], F.lit(True)))
