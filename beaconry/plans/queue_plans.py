@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from beaconry import dims
 from beaconry.functions import hashing
-from beaconry.operators import dedup, relevance, scan, text
+from beaconry.operators import dedup, relevance, scan, term_join, text
 from beaconry.operators import review_queue as rq
 from beaconry.plans.common import NOT_W_SQL, RUN_TS, SIGNALS, W_SQL, fold_sql, read, signals, sql_rows, squash_sql, stamp, stamp_sql
 from beaconry.functions.text import squash
-from beaconry.session import small_side
+from beaconry.session import scratch_path, small_side
+from beaconry.sources import files
 from beaconry.plans.text_plans import EXCERPT_CHARS, NEAR_DEDUP_SQL, signed_docs
 
 LIMIT = 40
@@ -82,6 +85,23 @@ def term_hits(spark, sf):
 
 
 TERM_HITS_SQL = f"WITH {SIGNALS}, {HITS} SELECT doc_id, kind, code, term, list_contains(in_title, term) AS in_title FROM hits"
+TERM_HITS_TABLE_SQL = TERM_HITS_SQL
+
+
+def vocabulary_rows(spark):
+    """The vocabulary as a table, read from its document."""
+    path, groups = scratch_path(spark, "vocabulary"), {"region": {}, "topic": {}}
+    for kind, code, _, term in dims.VOCABULARY:
+        groups[kind].setdefault(code, []).append(term)
+    weights = {k: v for k, v in dims.WEIGHTS.items() if k in relevance.WEIGHT_NAMES}
+    document = {"regions": groups["region"], "topics": groups["topic"], "exclude": dims.EXCLUDE, "weights": weights, "threshold": dims.WEIGHTS["threshold"], "margin": dims.WEIGHTS["margin"]}
+    spark.createDataFrame([(json.dumps(document),)], "value string").write.text(path)
+    return files.read_vocabulary(spark, path)[0]
+
+
+def term_hits_table(spark, sf):
+    """The hits of the vocabulary as a table of terms: n-grams of words joined with it, the longest term first."""
+    return term_join.term_hits(signals(spark, sf), "doc_id", vocabulary_rows(spark))
 
 
 def scored(spark, sf):
@@ -399,7 +419,7 @@ USAGE_VS_LIMIT_SQL = f"""WITH {USAGE}, s AS (SELECT day, service, CAST(sum(units
 SELECT *, daily_limit - units AS remaining, units > daily_limit AS over FROM s"""
 
 QUERIES = {
-    "term_hits": term_hits, "relevance_score": relevance_score, "relevance_outcome": relevance_outcome, "replay_diff": replay_diff,
+    "term_hits": term_hits, "term_hits_table": term_hits_table, "relevance_score": relevance_score, "relevance_outcome": relevance_outcome, "replay_diff": replay_diff,
     "age_window": age_window, "grade_gate": grade_gate, "feed_gate": feed_gate, "select_newest": select_newest, "review_queue": review_queue,
     "run_stats": run_stats, "signal_rows": signal_rows, "promote": promote, "publish_batch": publish_batch, "batch_counts": batch_counts,
     "queue_join": queue_join, "queue_counts": queue_counts, "queue_page": queue_page, "batch_no": batch_no, "decisions": decisions,

@@ -66,15 +66,29 @@ def size_estimate(df: DataFrame) -> int:
 def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Broadcast ``df`` when its estimated size allows it, otherwise leave the join to shuffle.
 
-    Estimates do not see how far generators and collected arrays spread or pack rows, so sides with any are left to
-    adaptive execution, which knows their size when they have run.
+    Estimates do not see how far generators and collected arrays spread or pack rows, so sides with any are run and measured.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     if any(word in plan for word in ("Generate", "collect_list", "collect_set")):
-        return df
+        return measured_side(df, limit)
     return F.broadcast(df) if size_estimate(df) <= limit else df
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """The size of all rows as text, for tables whose estimate means nothing."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+
+
+def measured_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """``df``, run and checkpointed, with the join strategy its real size asks for.
+
+    A side within ``limit`` is broadcast; any other one is hashed after a shuffle, which also keeps
+    the optimizer from a broadcast of its own on an estimate that knows nothing of generators and arrays.
+    """
+    rows = cut_lineage(df)
+    return F.broadcast(rows) if measured_bytes(rows) <= limit else rows.hint("shuffle_hash")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than cores; many-file inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -46,11 +46,17 @@ def test_trade_windows_keep_flows_and_partners_apart(spark):
     assert got == {("p", "M"): 5.0, ("p", "X"): 7.0, ("q", "M"): 11.0}
 
 
-def test_spread_sides_are_not_broadcast_by_hint(spark):
+def test_spread_sides_are_broadcast_by_their_real_size(spark):
     edges = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0), (1, 1, 5.0, 5.0, 0.0, 5.0), (1, 1, 0.0, 5.0, 0.0, 0.0)], "poly_id int, ring_id int, x1 double, y1 double, x2 double, y2 double")
-    cells = geo.ring_cells(edges, 0.01)
-    hinted = session.small_side(cells)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in hinted
+    cells = geo.ring_cells(edges, 0.1)
+    points = spark.range(5).select(F.col("id").alias("_ix"), F.col("id").alias("_iy"))
+
+    def joined(limit):
+        return points.join(session.small_side(cells, limit), ["_ix", "_iy"], "left")._jdf.queryExecution().sparkPlan().toString()
+
+    # a side over the limit is shuffled, whatever the optimizer takes it for
+    assert "BroadcastHashJoin" in joined(session.BROADCAST_LIMIT_BYTES)
+    assert "ShuffledHashJoin" in joined(10_000) and "Broadcast" not in joined(10_000)
     small = session.small_side(spark.range(3).select(F.col("id")))._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in small
 
