@@ -221,10 +221,17 @@ def screen_text(spark, sf):
     return screened.select("doc_id", "safe", "reason", "positional", F.md5("message").alias("message_md5"))
 
 
-_COORDINATES = " OR ".join(f"regexp_matches(message, {sql_literal(p)})" for p in text.COORDINATE_PATTERNS)
+_FINE = r"([\p{L}\p{N}]*[.,][0-9]+)\s*°?\s*([\p{L}\p{N}]*)"
+_NEAR = "list_transform(range(1, len(ws) + 1), lambda i: [ws[i], ws[i] || ws[i + 1], ws[i] || ws[i + 1] || ws[i + 2]])"
+_COORDINATES = rf"""(len(list_filter(list_zip(regexp_extract_all(message, '{_FINE}', 1), regexp_extract_all(message, '{_FINE}', 2)), lambda z:
+      regexp_full_match(z[1], '[0-9]+[.,][0-9]+') AND strpos(replace(z[1], ',', '.'), '.') <= 4 AND length(z[1]) - strpos(replace(z[1], ',', '.'), '.') >= 3 AND length(z[2]) = 1 AND contains('{text.SIDES}', upper(z[2])))) > 0
+    OR len(list_filter(range(1, len(ds)), lambda i: rtrim(ds[i])[-1] BETWEEN '0' AND '9' AND regexp_extract(ltrim(ds[i + 1]), '^[0-9]+') <> ''
+      AND ltrim(ltrim(ds[i + 1])[length(regexp_extract(ltrim(ds[i + 1]), '^[0-9]+')) + 1 :])[1] IN (chr(39), '′'))) > 0
+    OR len(list_filter(flatten({_NEAR}), lambda w: w IS NOT NULL AND len(list_filter([1, 2], lambda n: regexp_full_match(w[:n], '[0-9]+') AND contains('{text.BAND_LETTERS}', w[n + 1]) AND length(w) >= n + 5
+      AND contains('{text.SQUARE_LETTERS}', w[n + 2]) AND contains('{text.SQUARE_LETTERS}', w[n + 3]) AND regexp_full_match(w[n + 4 :], '[0-9]+'))) > 0)) > 0)"""
 SCREEN_TEXT_SQL = rf"""
 WITH m AS (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN ' near 36.8021 N' WHEN 1 THEN ' at 36° 48'' N' WHEN 2 THEN ' grid 37S DH 1234 5678' ELSE '' END AS message FROM documents),
-f AS (SELECT doc_id, message, {fold_sql('message')} AS x FROM m),
+f AS (SELECT doc_id, message, {fold_sql('message')} AS x, string_split(message, '°') AS ds, string_split_regex(message, '[^\p{{L}}\p{{N}}]+') AS ws FROM m),
 g AS (SELECT *, CASE WHEN {' OR '.join(_term_sql('x', t, True) for t in _TERMS)} THEN 'protected'
    WHEN {_COORDINATES} THEN 'coordinates' END AS reason,
    {' OR '.join(f"contains(x, '{s}')" for s in dims.POSITION_STEMS)} AS "positional" FROM f)

@@ -70,11 +70,21 @@ def archive(spark, sf):
 ARCHIVE = f"""archive AS (SELECT event_id, CAST(2012 + event_id % 12 AS INTEGER) AS year, CAST(event_id % 600 AS INTEGER) AS number,
   'A' || (user_id % 4) AS area, {sql_literal(dims.AUTHORITIES)}[user_id % 9 + 1] AS authority, {_text(True)} AS text FROM events)"""
 
-_P = wa.POSITION
-POSITIONS = rf"""raw_pos AS (SELECT event_id, {', '.join(f"unnest(regexp_extract_all(text, '{_P}', {i})) AS g{i}" for i in range(1, 9))},
+_P = wa.PLACE
+
+
+def _degrees_sql(figures: str, side: str) -> str:
+    parts = f"list_filter(string_split_regex(replace({figures}, ',', '.'), '[\\s-]+'), lambda p: p <> '')"
+    number = lambda i: f"TRY_CAST({parts}[{i}] AS DOUBLE)"
+    whole = f"length(split_part({parts}[1], '.', 1))"
+    joined = f"CASE WHEN {whole} >= 4 THEN TRY_CAST(left({parts}[1], {whole} - 2) AS DOUBLE) + TRY_CAST(substr({parts}[1], {whole} - 1) AS DOUBLE) / 60 END"
+    value = f"CASE len({parts}) WHEN 1 THEN {joined} WHEN 2 THEN {number(1)} + {number(2)} / 60 WHEN 3 THEN {number(1)} + {number(2)} / 60 + {number(3)} / 3600 END"
+    return f"round(({value}) * CASE WHEN {side} IN ('S', 'W') THEN -1 ELSE 1 END, 6)"
+
+
+POSITIONS = rf"""raw_pos AS (SELECT event_id, {', '.join(f"unnest(regexp_extract_all(text, '{_P}', {i})) AS g{i}" for i in range(1, 5))},
     generate_subscripts(regexp_extract_all(text, '{_P}', 1), 1) AS k FROM archive),
-dec_pos AS (SELECT event_id, k, round((CAST(g1 AS DOUBLE) + CAST(replace(g2, ',', '.') AS DOUBLE) / 60 + coalesce(TRY_CAST(replace(g3, ',', '.') AS DOUBLE), 0) / 3600) * CASE WHEN g4 = 'S' THEN -1 ELSE 1 END, 6) AS lat,
-    round((CAST(g5 AS DOUBLE) + CAST(replace(g6, ',', '.') AS DOUBLE) / 60 + coalesce(TRY_CAST(replace(g7, ',', '.') AS DOUBLE), 0) / 3600) * CASE WHEN g8 = 'W' THEN -1 ELSE 1 END, 6) AS lon FROM raw_pos),
+dec_pos AS (SELECT event_id, k, {_degrees_sql('g1', 'g2')} AS lat, {_degrees_sql('g3', 'g4')} AS lon FROM raw_pos),
 ok_pos AS (SELECT event_id, lat, lon, min(k) AS k FROM dec_pos WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY 1, 2, 3),
 pos AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY k) - 1 AS ordinal, lat, lon FROM ok_pos)"""
 
@@ -84,8 +94,8 @@ def _activity_sql(text: str) -> str:
     return f"CASE {whens} END"
 
 
-_CANCEL_BODY = r"regexp_replace(upper({t}), '\bDNC \d+\.?', ' ', 'g')"
-_CANCEL = f"(contains({_CANCEL_BODY}, 'CANCEL') AND NOT regexp_matches({_CANCEL_BODY}, '{wa.OWN_CONTENT}'))"
+_CANCEL = f"""(contains(upper({{t}}), 'CANCEL') AND NOT list_has_any(string_split_regex(upper({{t}}), '[^A-Z0-9]+'), {sql_literal(list(wa.OWN_CONTENT))})
+  AND NOT regexp_matches(upper({{t}}), '(^|[^A-Z0-9])[0-9]{{{{6}}}}Z($|[^A-Z0-9])'))""".replace("{{6}}", "{6}")
 _NAMED = " OR ".join(f"contains(upper(text), '{w}')" for w in dims.OWN_SEAS)
 _WEST, _SOUTH, _EAST, _NORTH = dims.OWN_BOX
 MARKED = rf"""{ARCHIVE}, {POSITIONS},
@@ -114,21 +124,25 @@ def warn_facts(spark, sf):
     return facts.withColumn("issued_at", stamp("issued_at")).withColumn("body_md5", F.md5("body")).drop("body")
 
 
-_H, _S, _C = wa.HEADER, wa.SERIAL, wa.CANCELS
+_S, _C = wa.SERIAL, wa.CANCELS
 WARN_FACTS_SQL = rf"""WITH {ARCHIVE}, {sql_rows('stations', 'station_letter, station', dims.STATIONS)}, {sql_rows('subjects', 'subject_letter, subject', dims.SUBJECTS)},
 f AS (SELECT event_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM archive),
-g AS (SELECT event_id, flat, regexp_extract(flat, '{_H}', 0) AS head, regexp_extract(flat, '{_S}', 0) AS serial,
-  {', '.join(f"nullif(regexp_extract(flat, '{_H}', {i}), '') AS h{i}" for i in range(1, 9))},
+w AS (SELECT event_id, flat, string_split(flat, ' ') AS words, list_position(list_transform(string_split(flat, ' '), lambda x: upper(x)), '{wa.START_WORD}') AS zc FROM f),
+v AS (SELECT *, zc IS NOT NULL AND regexp_full_match(upper(words[zc + 1]), '[A-Z][A-Z][0-9][0-9]') AND regexp_full_match(words[zc + 2], '[0-9]+') AND length(words[zc + 2]) = 6
+  AND upper(words[zc + 3]) = 'UTC' AND length(words[zc + 4]) = 3 AND regexp_matches(words[zc + 5], '^[0-9][0-9]') AS headed FROM w),
+g AS (SELECT event_id, flat, CASE WHEN headed THEN array_to_string(words[zc : zc + 4], ' ') || ' ' || left(words[zc + 5], 2) ELSE '' END AS head,
+  regexp_extract(flat, '{_S}', 0) AS serial, CASE WHEN headed THEN upper(words[zc + 1]) END AS mark, CASE WHEN headed THEN words[zc + 2] END AS clock,
+  CASE WHEN headed THEN upper(words[zc + 4]) END AS mon, CASE WHEN headed THEN left(words[zc + 5], 2) END AS yy,
   {', '.join(f"nullif(regexp_extract(flat, '{_S}', {i}), '') AS s{i}" for i in range(1, 4))},
-  nullif(regexp_extract(flat, '{_C}', 1), '') AS c1 FROM f),
+  nullif(regexp_extract(flat, '{_C}', 1), '') AS c1 FROM v),
 e AS (SELECT *, CASE WHEN serial <> '' AND strpos(flat, serial) + length(serial) - 1 > CASE WHEN head <> '' THEN strpos(flat, head) + length(head) - 1 ELSE 0 END THEN strpos(flat, serial) + length(serial) - 1
    WHEN head <> '' THEN strpos(flat, head) + length(head) - 1 ELSE 0 END AS stop FROM g)
-SELECT event_id, upper(h1) AS station_letter, upper(h2) AS subject_letter, h3 AS serial_in_subject,
-  strftime(try_strptime('20' || h8 || h7 || h4 || h5 || h6, '%Y%b%d%H%M'), '%Y-%m-%d %H:%M:%S') AS issued_at,
+SELECT event_id, mark[1] AS station_letter, mark[2] AS subject_letter, mark[3:] AS serial_in_subject,
+  strftime(try_strptime('20' || yy || mon || clock, '%Y%b%d%H%M'), '%Y-%m-%d %H:%M:%S') AS issued_at,
   array_to_string(list_transform(string_split(regexp_replace(s1, '\s+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS issuing_station,
   upper(s2) AS warning_kind, replace(s3, ' ', '') AS warning_serial, {_activity_sql('flat')} AS activity, {_CANCEL.replace('{t}', 'flat')} AS cancellation_only,
   replace(c1, ' ', '') AS cancelled_serial, station, subject, md5(regexp_replace(trim(substr(flat, stop + 1)), '\s*NNNN\s*$', '')) AS body_md5
-FROM e LEFT JOIN stations ON stations.station_letter = upper(h1) LEFT JOIN subjects ON subjects.subject_letter = upper(h2)"""
+FROM e LEFT JOIN stations ON stations.station_letter = mark[1] LEFT JOIN subjects ON subjects.subject_letter = mark[2]"""
 
 
 def warn_positions(spark, sf):

@@ -118,3 +118,25 @@ def test_strict_refuses_the_batch(spark):
     assert [tuple(r) for r in findings.collect()] == [(2, "url")]
     with pytest.raises(rules.RefusedBatch):
         rules.strict(rows, findings)
+
+
+def test_places_are_read_from_their_parts(spark):
+    exact = ["36.8021 N", "36,8021°N x", "at 7.123 e.", "36° 48' N", "36 °48′", "grid 37S DH 1234 5678", "37SDH12", "(37S DH1234)"]
+    loose = ["36.80 N", "1234.567 N", "36.8021 North", "v36.8021 N", "36° N", "° 48'", "36° x 48'", "37S", "37S DI 12", "37I DH 12", "137S DH 12", "37S DH 1", "", "plain 3.14159"]
+    rows = spark.createDataFrame([(t, True) for t in exact] + [(t, False) for t in loose], "t string, want boolean")
+    assert [r.t for r in rows.where(text.names_a_place(F.col("t")) != F.col("want")).collect()] == []
+
+
+def test_headings_are_told_by_their_words(spark):
+    good = wa.heading_of(F.split(F.col("v"), " "))
+    found = one(spark, good, "x zczc fa07 101530 utc mar 24LIME rest")
+    assert (found.station, found.subject, found.serial, found.time, found.month, found.year, found.text) == ("F", "A", "07", "101530", "MAR", "24", "zczc fa07 101530 utc mar 24")
+    for other in ("ZCZC FA0 101530 UTC MAR 24", "ZCZC FA07 10153 UTC MAR 24", "ZCZC FA07 101530 GMT MAR 24", "ZCZC FA07 101530 UTC MARCH 24", "ZCZC FA07", "FA07 101530 UTC MAR 24", ""):
+        assert one(spark, good, other) is None
+
+
+def test_entity_names_become_numbers(spark):
+    from beaconry.sources.feeds import _numeric_entities
+
+    for raw, expected in (("a&eacute;b &amp; &lt;&nosuch; &Eacute &;& x", "a&#233;b &amp; &lt;&nosuch; &Eacute &;& x"), ("plain", "plain"), ("&nbsp;", "&#160;")):
+        assert one(spark, _numeric_entities(F.col("v")), raw) == expected
