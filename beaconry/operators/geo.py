@@ -20,6 +20,8 @@ from beaconry.session import cut_lineage, small_side
 
 EDGE = ["x1", "y1", "x2", "y2"]
 ID = ["poly_id", "ring_id"]
+#: Cell numbers from here downwards belong to no cell.
+NOWHERE = -(1 << 40)
 
 
 def edges_of(rings: DataFrame, points: str = "points") -> DataFrame:
@@ -79,11 +81,14 @@ def _columns_around(west: Column, east: Column, lat: Column, cell: float) -> Col
 def attach(points: DataFrame, cells: DataFrame, cell: float, wanted: Column | None = None, around: bool = False) -> DataFrame:
     """Points with the ``_edges`` of their cell; only rows where ``wanted`` holds look anything up.
 
-    ``around`` goes with ``near_cells``, whose columns go round the globe.
+    Rows that look nothing up, and rows without a position, get keys no cell has, many different ones: they meet nothing and
+    crowd no task. ``around`` goes with ``near_cells``, whose columns go round the globe.
     """
 
+    nowhere = F.lit(NOWHERE) - F.pmod(F.xxhash64(*(F.col(f"`{f.name}`") for f in points.schema if "map<" not in f.dataType.simpleString())), F.lit(1 << 16))
+
     def key(value: Column) -> Column:
-        return value if wanted is None else F.when(wanted, value)
+        return F.coalesce(value if wanted is None else F.when(wanted, value), nowhere)
 
     column = _column(F.col("lon"), cell) if around else F.floor(F.col("lon") / cell)
     keyed = points.withColumn("_ix", key(column)).withColumn("_iy", key(F.floor(F.col("lat") / cell)))

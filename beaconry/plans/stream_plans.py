@@ -10,6 +10,7 @@ from beaconry.plans.common import RUN_TS, SIGNALS, read, signals, squash_sql, st
 from beaconry.plans.io_plans import published
 from beaconry.plans.text_plans import NEAR_DEDUP_SQL, signed_docs
 from beaconry.session import scratch_path
+from beaconry.sinks import retention as expiry
 from beaconry.sinks import tables
 from beaconry.sources import files
 from beaconry.streaming import jobs
@@ -100,11 +101,12 @@ SELECT doc_id, {stamp_sql('published')} AS published, coalesce(published < TIMES
 
 
 def retention(spark, sf):
-    """A day-partitioned table of events after a retention run on the fifteenth at noon."""
+    """What is left of a day-partitioned table of events after a retention run on the fifteenth at noon, read back from the table."""
     path = scratch_path(spark, "retention")
     rows = read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.to_date("ts").alias("created_date"))
-    rows.write.partitionBy("created_date").parquet(path)
-    return tables.expire(spark, path, "2024-01-15 12:00:00").select("event_id")
+    rows.repartition("created_date").write.partitionBy("created_date").parquet(path)
+    expiry.expire(spark, path, "2024-01-15 12:00:00")
+    return expiry.surviving(spark, path, rows.schema).select("event_id")
 
 
 RETENTION_SQL = "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'"

@@ -1,4 +1,4 @@
-"""Idempotent writers on Parquet tables: partitioned artifacts, insert-if-absent, upserts, retention."""
+"""Idempotent writers on Parquet tables: partitioned artifacts, insert-if-absent, upserts."""
 
 from __future__ import annotations
 
@@ -99,13 +99,3 @@ def batch_document(rows: DataFrame, batch_id: str, created_at: str, order: str)
 def pointer(document: DataFrame, batch_id: str) -> DataFrame:
     """What a reader checks first: the file's name, digest and row count."""
     return document.select(F.lit(batch_id).alias("batch_id"), F.lit(f"{batch_id}.json").alias("file"), F.sha2("value", 256).alias("sha256"), F.col("rows").cast("bigint").alias("rows"))
-
-
-def expire(spark: SparkSession, path: str, cutoff: str, day: str = "created_date") -> DataFrame:
-    """Rows of a day-partitioned table that survive the cutoff instant, whatever their status.
-
-    Whole days before the boundary are pruned by partition; only the boundary day is read row by row.
-    """
-    table = spark.read.parquet(path)
-    boundary = F.to_date(F.lit(cutoff))
-    return table.where((F.col(day) > boundary) | ((F.col(day) == boundary) & (F.col("created_at") >= F.lit(cutoff).cast("timestamp"))))
