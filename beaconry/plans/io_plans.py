@@ -72,17 +72,17 @@ SELECT outcome, CASE WHEN outcome = 'ok' THEN st END AS status, count(*) AS n FR
 
 
 def published(spark, sf, path):
-    """Store rows as batch files of bounded size with their pointers; every fifth file is damaged."""
+    """Store rows as batch files of bounded size, a folder each, with their pointers; every fifth digest is wrong."""
     rows = stored_rows(spark, sf).withColumn("simhash", F.lit(None).cast("string")).withColumn("_file", F.expr(f"concat('2024-01-31-r', conv(substr(content_hash, 8, 2), 16, 10), 'x', cast(regexp_extract(url, '/([0-9]+)$', 1) as bigint) div {CHUNK})"))
     fields = sorted(c for c in rows.columns if c != "_file")
     listed = rows.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
     docs = listed.select("_file", F.to_json(F.struct(F.col("_file").alias("batch_id"), F.lit(RUN_TS).alias("created_at"), "rows", F.lit("batch/1").alias("schema")), {"ignoreNullFields": "false"}).alias("value"), F.size("rows").cast("bigint").alias("rows"))
     number = F.regexp_extract("_file", r"r(\d+)x", 1).cast("int")
-    pointers = docs.select(F.col("_file").alias("batch_id"), F.concat("_file", F.lit(".json")).alias("file"), F.when(number % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2("value", 256)).alias("sha256"), (F.col("rows") + F.when(number % 7 == 0, 1).otherwise(0)).alias("rows"))
-    content = docs.where(number % 11 != 0).select(F.concat(F.lit("/"), "_file", F.lit(".json")).alias("path"), F.length(F.encode("value", "UTF-8")).cast("bigint").alias("length"), F.encode("value", "UTF-8").alias("content"))
-    content.write.parquet(f"{path}/files")
+    file = F.concat(F.col("value"), F.lit("\n"))
+    pointers = docs.select(F.col("_file").alias("batch_id"), F.concat("_file", F.lit(".json")).alias("file"), F.when(number % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2(file, 256)).alias("sha256"), (F.col("rows") + F.when(number % 7 == 0, 1).otherwise(0)).alias("rows"))
+    docs.where(number % 11 != 0).select("value", F.col("_file").alias("batch")).write.partitionBy("batch").text(f"{path}/files")
     pointers.write.json(f"{path}/pointers")
-    return spark.read.parquet(f"{path}/files"), spark.read.schema(files.POINTER).json(f"{path}/pointers")
+    return files.batch_files(spark, f"{path}/files"), spark.read.schema(files.POINTER).json(f"{path}/pointers")
 
 
 def read_batch(spark, sf):

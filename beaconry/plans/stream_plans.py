@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconry import dims
+from beaconry.operators import review_queue as rq
 from beaconry.operators import text
 from beaconry.plans.common import RUN_TS, SIGNALS, read, signals, squash_sql, stamp, stamp_sql
-from beaconry.plans.io_plans import published
+from beaconry.plans.io_plans import CHUNK, published
+from beaconry.plans.queue_plans import STORE
 from beaconry.plans.text_plans import NEAR_DEDUP_SQL, signed_docs
 from beaconry.session import scratch_path
 from beaconry.sinks import retention as expiry
@@ -47,7 +49,7 @@ def _ingested(spark, sf, max_rows: int, max_writes: int):
     checkpoint = scratch_path(spark, "ingest-state")
 
     def opened(pointers):
-        return documents.join(pointers.select(F.concat(F.lit("/"), "file").alias("path")), "path", "left_semi")
+        return documents.join(pointers.select(F.col("batch_id").alias("batch")), "batch", "left_semi")
 
     jobs.ingest_stream(spark, arrivals, opened, store, checkpoint, ROW_RULES, max_rows, max_writes).awaitTermination()
     return store
@@ -66,6 +68,24 @@ def stream_budget(spark, sf):
     return spark.read.parquet(f"{store}/refused").groupBy("reason").agg(F.count(F.lit(1)).alias("batches"))
 
 
+#: Fixture damage by the number in a batch id, and the row rules, in SQL: one row per stored row with its batch.
+_BATCHES = f"""{STORE}, b AS (SELECT content_hash, triage_status, title, url, doc_id // {CHUNK} AS c, CAST('0x' || content_hash[8:9] AS INTEGER) AS k FROM stored),
+in_batches AS (SELECT *, '2024-01-31-r' || k || 'x' || c AS batch_id FROM b),
+sizes AS (SELECT batch_id, any_value(k) AS k, count(*) AS n, count(*) + CASE WHEN any_value(k) % 7 = 0 THEN 1 ELSE 0 END AS announced, count(*) FILTER (WHERE triage_status = 'queued') AS q,
+  bool_or(NOT regexp_matches(url, '^https?://.') OR triage_status NOT IN ('pending', 'scored', 'queued') OR length(title) > 300) AS bad FROM in_batches GROUP BY 1),
+opened AS (SELECT batch_id, n, q, announced, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 5 = 0 THEN 'digest' WHEN k % 7 = 0 THEN 'row-count' END AS damage, bad FROM sizes)"""
+
+
+def _verdicts_sql(max_rows: int, max_writes: int) -> str:
+    held = f"CASE WHEN damage IS NOT NULL THEN damage WHEN bad THEN 'bad-row' WHEN n > {max_rows} THEN 'too-many-rows' WHEN (n + q) * {rq.WRITES_PER_ROW} > {max_writes} THEN 'write-budget' END"
+    return f"verdicts AS (SELECT batch_id, CASE WHEN announced > {max_rows} THEN 'too-many-rows' ELSE {held} END AS reason FROM opened)"
+
+
+STREAM_INGEST_SQL = f"""{_BATCHES}, {_verdicts_sql(1000, 20_000)}, good AS (SELECT * FROM in_batches JOIN verdicts USING (batch_id) WHERE reason IS NULL)
+SELECT DISTINCT content_hash, 'signal' AS "table" FROM good UNION ALL SELECT DISTINCT content_hash, 'review' FROM good WHERE triage_status = 'queued'"""
+STREAM_BUDGET_SQL = f"{_BATCHES}, {_verdicts_sql(8, 24)} SELECT reason, count(*) AS batches FROM verdicts WHERE reason IS NOT NULL GROUP BY 1"
+
+
 def stream_dedup(spark, sf):
     """Distinct content keys through the 90-day dedup state; the batch twin is a plain distinct."""
     docs = text.content_keys(signals(spark, sf).withColumn("url", F.lit("https://one.example.org/")), "url", "text").select("queue_id", "published")
@@ -155,5 +175,5 @@ QUERIES = {
     "stream_late": stream_late, "retention": retention, "stream_rate_limit": stream_rate_limit,
 }
 ORACLES = {
-    "stream_dedup": STREAM_DEDUP_SQL, "stream_near_dedup": NEAR_DEDUP_SQL, "stream_late": STREAM_LATE_SQL, "retention": RETENTION_SQL, "stream_rate_limit": STREAM_RATE_LIMIT_SQL,
+    "stream_ingest": STREAM_INGEST_SQL, "stream_budget": STREAM_BUDGET_SQL, "stream_dedup": STREAM_DEDUP_SQL, "stream_near_dedup": NEAR_DEDUP_SQL, "stream_late": STREAM_LATE_SQL, "retention": RETENTION_SQL, "stream_rate_limit": STREAM_RATE_LIMIT_SQL,
 }

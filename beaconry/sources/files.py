@@ -41,6 +41,15 @@ POINTER = "batch_id string, file string, sha256 string, rows bigint"
 MAX_BATCH_BYTES = 8 * 1024 * 1024
 
 
+def batch_files(spark: SparkSession, path: str) -> DataFrame:
+    """The batch files under ``path``, a folder ``batch=<id>`` each, as (path, length, content).
+
+    Joined with some pointers on ``batch``, only their folders are opened.
+    """
+    found = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary, batch string").load(path)
+    return found.select(F.concat(F.lit("/"), "batch", F.lit(".json")).alias("path"), "length", "content", "batch")
+
+
 def read_batch(files: DataFrame, pointers: DataFrame, max_bytes: int = MAX_BATCH_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows of the published batches that agree with their pointer in size, digest and row count.
 

@@ -45,10 +45,14 @@ def ingest_batch(
 ) -> DataFrame:
     """Published batches into the signals and reviews tables; returns (batch_id, reason) of the refused ones.
 
-    A batch is refused as a whole when it disagrees with its pointer, holds a bad row, or is over
-    budget. Signals are written before reviews, both only where the key is new, so a replay is a no-op.
+    A batch that announces too many rows is refused before its file is opened; any other one is refused as a whole when it
+    disagrees with its pointer, holds a bad row, or is over budget. Signals are written before reviews, both only where
+    the key is new, so a replay is a no-op.
     """
-    rows, refused = files.read_batch(documents, pointers)
+    announced = F.coalesce(F.col("rows") > max_rows, F.lit(False))
+    pointers = cut_lineage(pointers.withColumn("_over", announced))
+    rows, refused = files.read_batch(documents, pointers.where("NOT _over").drop("_over"))
+    refused = refused.unionByName(pointers.where("_over").select("batch_id", F.lit("too-many-rows").alias("reason")))
     rows = cut_lineage(rows)
     sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("triage_status") == "queued").alias("q"))
     over = sizes.select("batch_id", budget_reason(F.col("n"), F.col("q"), max_rows, max_writes).alias("reason")).where("reason IS NOT NULL")
