@@ -76,15 +76,19 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     rest = window - width
     if rest:
         lowest = np.minimum(lowest[:-rest], lowest[rest:])
-    anchors = (lowest & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    starts = np.flatnonzero(np.arange(len(anchors)) + length <= offsets[1:][text_of[: len(anchors)]])
-    if not len(starts):
-        return empty, empty, empty, empty.astype(np.uint64)
-    own = anchors[starts]
-    breaks = np.flatnonzero(own[1:] != own[:-1]) + 1
-    first, last = starts[np.concatenate([[0], breaks])], starts[np.concatenate([breaks - 1, [len(starts) - 1]])]
-    return text_of[first], first, last, hashes[own[np.concatenate([[0], breaks])]]
+    anchors = lowest.astype(np.uint32)  # the place is the lower half
+    starts = np.ones(len(anchors) + 2, bool)  # a string starts here and ends in the same text; False on either side
+    starts[0] = starts[-1] = False
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        starts[1 + max(begin, end - length + 1) : 1 + end] = False
+    starts[-1] = False
+    changed = np.ones(len(anchors) + 1, bool)
+    changed[1:-1] = anchors[1:] != anchors[:-1]
+    own = starts[1:-1]
+    first = np.flatnonzero(own & (changed[:-1] | ~starts[:-2]))
+    last = np.flatnonzero(own & (changed[1:] | ~starts[2:]))
+    text_of = np.searchsorted(offsets, first, "right") - 1
+    return text_of, first, last, hashes[anchors[first]]
 
 
 LISTED = "anchor long, segment long, doc long, at int, tag long, extra int, copy boolean"
@@ -243,7 +247,10 @@ def stretches(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
     starts[:-1] = place - first[row_of] + length <= sizes[row_of]
     ordered = order[starts[order]]
     # starts of equal strings are neighbours in the array: a run ends where the common prefix falls short
-    runs = np.cumsum(common[ordered] < length)
+    fresh = common[ordered] < length
+    several = ~fresh
+    several[:-1] |= ~fresh[1:]
+    runs, ordered = np.cumsum(fresh)[several], ordered[several]
     row = row_of[ordered]
     doc = np.array([r[1] for r in rows], np.int64)[row]
     at = np.array([r[2] for r in rows], np.int64)[row] + ordered - first[row]
