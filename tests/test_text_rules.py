@@ -140,3 +140,7 @@ def test_entity_names_become_numbers(spark):
 
     for raw, expected in (("a&eacute;b &amp; &lt;&nosuch; &Eacute &;& x", "a&#233;b &amp; &lt;&nosuch; &Eacute &;& x"), ("plain", "plain"), ("&nbsp;", "&#160;")):
         assert one(spark, _numeric_entities(F.col("v")), raw) == expected
+
+
+def test_references_without_a_semicolon_stay(spark):
+    assert one(spark, ft.strip_markup(F.col("v")), "a&amp b &notit; &copy; &amp;lt; &#65; &#x42; &eacute;") == "a&amp b &notit; © &lt; A B é"
