@@ -122,3 +122,24 @@ def test_stream_gate_equals_the_sequential_gate(spark):
     jobs.rate_limit_stream(stream, 4, 30).writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "s")).trigger(availableNow=True).start(out).awaitTermination()
     got = {(r.channel, r.post_id): r.state for r in spark.read.parquet(out).collect()}
     assert got == sequential(posts, 4, 30)
+
+
+def test_a_position_is_searched_once(spark):
+    seen = []
+
+    def look(places):
+        seen.append(sorted((r.lon, r.lat) for r in places.collect()))
+        return places.where("lon < 22").withColumn("found", F.col("lon") * 2)
+
+    rows = [(i, [21.0, 22.5, None][i % 3], 36.0) for i in range(12)] + [(12, 21.0, None)]
+    got = {r.id: r.found for r in geo.at_places(spark.createDataFrame(rows, "id int, lon double, lat double"), look).collect()}
+    assert seen == [[(21.0, 36.0), (22.5, 36.0)]]
+    assert got == {i: 42.0 if i < 12 and i % 3 == 0 else None for i in range(13)}
+
+
+def test_points_that_repeat_keep_every_pair(spark):
+    rows = [(i, 22.0, 36.5) for i in range(5)] + [(5, 50.0, 50.0), (6, None, 36.5)]
+    table = spark.createDataFrame(rows, "id int, lon double, lat double")
+    assert sorted((r.id, r.poly_id) for r in geo.points_in_poly(table, polygons(spark)).collect()) == [(i, 1) for i in range(5)]
+    ref = spark.createDataFrame([(i, 22.00001, 36.5) for i in range(3)], "ref_id int, lon double, lat double")
+    assert sorted((r.id, r.ref_id) for r in geo.coincident(table, ref, 5.0).select("id", "ref_id").collect()) == [(i, j) for i in range(5) for j in range(3)]
