@@ -71,8 +71,13 @@ READ_CANDIDATES_SQL = """WITH c AS (SELECT CASE WHEN doc_id % 50 = 7 THEN 'not j
 SELECT outcome, CASE WHEN outcome = 'ok' THEN st END AS status, count(*) AS n FROM c GROUP BY 1, 2"""
 
 
+def bundle_of(batch_id):
+    """The folder a batch lies in: the batches of one chunk of documents go together, so files are as many as chunks."""
+    return F.regexp_extract(batch_id, r"x(\d+)$", 1)
+
+
 def published(spark, sf, path):
-    """Store rows as batch files of bounded size, a folder each, with their pointers; every fifth digest is wrong."""
+    """Store rows as batches of bounded size, bundled by chunk, with their pointers; every fifth digest is wrong."""
     rows = stored_rows(spark, sf).withColumn("simhash", F.lit(None).cast("string")).withColumn("_file", F.expr(f"concat('2024-01-31-r', conv(substr(content_hash, 8, 2), 16, 10), 'x', cast(regexp_extract(url, '/([0-9]+)$', 1) as bigint) div {CHUNK})"))
     fields = sorted(c for c in rows.columns if c != "_file")
     listed = rows.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
@@ -80,7 +85,8 @@ def published(spark, sf, path):
     number = F.regexp_extract("_file", r"r(\d+)x", 1).cast("int")
     file = F.concat(F.col("value"), F.lit("\n"))
     pointers = docs.select(F.col("_file").alias("batch_id"), F.concat("_file", F.lit(".json")).alias("file"), F.when(number % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2(file, 256)).alias("sha256"), (F.col("rows") + F.when(number % 7 == 0, 1).otherwise(0)).alias("rows"))
-    docs.where(number % 11 != 0).select("value", F.col("_file").alias("batch")).write.partitionBy("batch").text(f"{path}/files")
+    lines = docs.where(number % 11 != 0).select(F.concat("_file", F.lit("\t"), "value").alias("value"), bundle_of(F.col("_file")).alias("bundle"))
+    lines.repartition("bundle").write.partitionBy("bundle").text(f"{path}/files")
     pointers.write.json(f"{path}/pointers")
     return files.batch_files(spark, f"{path}/files"), spark.read.schema(files.POINTER).json(f"{path}/pointers")
 

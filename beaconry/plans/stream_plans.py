@@ -8,7 +8,7 @@ from beaconry import dims
 from beaconry.operators import review_queue as rq
 from beaconry.operators import text
 from beaconry.plans.common import RUN_TS, SIGNALS, read, signals, squash_sql, stamp, stamp_sql
-from beaconry.plans.io_plans import CHUNK, published
+from beaconry.plans.io_plans import CHUNK, bundle_of, published
 from beaconry.plans.queue_plans import STORE
 from beaconry.plans.text_plans import NEAR_DEDUP_SQL, signed_docs
 from beaconry.session import scratch_path
@@ -49,7 +49,7 @@ def _ingested(spark, sf, max_rows: int, max_writes: int):
     checkpoint = scratch_path(spark, "ingest-state")
 
     def opened(pointers):
-        return documents.join(pointers.select(F.col("batch_id").alias("batch")), "batch", "left_semi")
+        return documents.join(pointers.select(bundle_of(F.col("batch_id")).alias("bundle")), "bundle", "left_semi")
 
     jobs.ingest_stream(spark, arrivals, opened, store, checkpoint, ROW_RULES, max_rows, max_writes).awaitTermination()
     return store
