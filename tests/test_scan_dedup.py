@@ -134,3 +134,13 @@ def test_running_sums_cross_buckets(spark):
     for i in range(97):
         total += i % 5
         assert got[i] == total
+
+
+def test_keys_are_never_broadcast(spark, tmp_path):
+    """Rows are many keys each, which size estimates do not see: a small-looking side may be millions of keys."""
+    values = spark.range(100).select(F.xxhash64("id").alias("hash"))
+    ledger = KeyedStore(spark, str(tmp_path / "ledger"), dedup.LEDGER, buckets=4)
+    ledger.add(dedup.ledger_rows(values.select(F.hex("hash").alias("queue_id"), F.col("hash").alias("simhash"), F.to_date(F.lit("2024-01-01")).alias("seen"))), 0)
+    for frame in (dedup.near_pairs(values), dedup.near_pairs(values, values), ledger.matching(dedup.keyed(values))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
