@@ -141,7 +141,19 @@ def posts(spark, sf):
     )
 
 
-POSTS_OF_A_SLICE, LEAST_SLICES = 200_000, 12
+#: A slice is a batch, and a batch starts a worker for each part of the state whatever it holds; a million posts are some 30 MB.
+POSTS_OF_A_SLICE, LEAST_SLICES = 1_000_000, 12
+
+
+def _start_with_parts(spark, writer, out: str, parts: int):
+    """Start a stream whose state has at most ``parts`` parts; they are fixed at its start, and the session keeps its own number."""
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(own), parts)))
+    try:
+        return writer.start(out)
+    finally:
+        spark.conf.set(name, own)
 
 
 def stream_rate_limit(spark, sf):
@@ -151,7 +163,8 @@ def stream_rate_limit(spark, sf):
     slices = max(LEAST_SLICES, -(-waiting.count() // POSTS_OF_A_SLICE))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     decided = jobs.rate_limit_stream(_land_in_order(spark, waiting, "gate-in", ["second", "post_id"], slices), *dims.CHANNEL_LIMITS)
-    decided.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_path(spark, "gate-state")).trigger(availableNow=True).start(out).awaitTermination()
+    writer = decided.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch_path(spark, "gate-state")).trigger(availableNow=True)
+    _start_with_parts(spark, writer, out, spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.schema("channel string, post_id bigint, state string").parquet(out)
 
 
